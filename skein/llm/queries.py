@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, tokenfiles
+from . import fingerprints, mixing, packing, sharding, tokenfiles, urlfilter
 from .shared import new_path
 
 
@@ -28,5 +28,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op3_best_fit_packing, op4_token_files)}
-ORACLES: dict[str, str] = {}
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op8_source_mixing, op9_url_filter)}
+ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op9_url_filter": urlfilter.ORACLE}
