@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, sharding, tokenfiles, urlfilter
+from . import fingerprints, mixing, packing, quality, sharding, tokenfiles, urlfilter
 from .shared import new_path
 
 
@@ -32,6 +32,10 @@ def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op8_source_mixing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op7_quality_trees, op8_source_mixing, op9_url_filter)}
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op9_url_filter": urlfilter.ORACLE}
