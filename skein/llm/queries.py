@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, sharding, tokenfiles, urlfilter
+from . import embdup, fingerprints, mixing, neardup, packing, quality, sharding, tokenfiles, urlfilter
 from .shared import new_path
 
 
@@ -18,6 +18,10 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
 
@@ -44,5 +48,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op7_quality_trees, op8_source_mixing, op9_url_filter)}
-ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op9_url_filter": urlfilter.ORACLE}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_inverted_multi_index, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op7_quality_trees, op8_source_mixing, op9_url_filter, op10_minhash)}
+ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op9_url_filter": urlfilter.ORACLE, "op2_inverted_multi_index": embdup.ORACLE, "op10_minhash": neardup.ORACLE}
