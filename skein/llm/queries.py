@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdup, fingerprints, mixing, neardup, packing, quality, sharding, tokenfiles, urlfilter
+from . import embdup, fingerprints, mixing, neardup, packing, quality, sharding, suffixdup, tokenfiles, urlfilter
 from .shared import new_path
 
 
@@ -32,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, path)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.report(table(spark, sf_dir, "documents"), least=400)
+
+
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_inverted_multi_index, op3_best_fit_packing, op4_token_files, op6_closed_syncmers, op7_quality_trees, op8_source_mixing, op9_url_filter, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_rendezvous_sharding, op2_inverted_multi_index, op3_best_fit_packing, op4_token_files, op5_suffix_array, op6_closed_syncmers, op7_quality_trees, op8_source_mixing, op9_url_filter, op10_minhash)}
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle(), "op9_url_filter": urlfilter.ORACLE, "op2_inverted_multi_index": embdup.ORACLE, "op10_minhash": neardup.ORACLE}
