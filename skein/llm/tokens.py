@@ -10,15 +10,18 @@ import numpy as np
 #: No piece of a text longer than this is kept in the cache.
 LONGEST_CACHED = 48
 #: Pieces in the cache at most; then it starts anew.
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 1_200_000
 #: Pieces that one call of the library encodes.
-LEARN = 5_000
+LEARN = 1_000
 _L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
-#: A run of white space and what follows it, whole if it has other characters than these; else letters, digits and signs by themselves, as both patterns cut them.
-_PIECES = re.compile(rf"[ \n]*[{_L}0-9{_P}]*[^ \n{_L}0-9{_P}][^ \n]*| ?[{_L}]+| ?[0-9]+| ?[{_P}]+|[ \n]+(?![^ \n])|[ \n]+")
-_LETTERS = re.compile(rf" ?[{_L}]+")
+_PLAIN = rf" ?[{_L}]+| ?[0-9]+| ?[{_P}]+|[ \n]+(?![^ \n])|[ \n]+"
+#: Letters, digits, signs and white space by themselves, as both patterns cut them; with other characters in the text, a run of white space and what follows it whole if it has some of these.
+_PIECES = re.compile(_PLAIN)
+_ANY_PIECES = re.compile(rf"[ \n]*[{_L}0-9{_P}]*[^ \n{_L}0-9{_P}][^ \n]*|{_PLAIN}")
+_OTHER = re.compile(rf"[^ \n{_L}0-9{_P}]")
+_LETTERS = re.compile(rf" ?[{_L}]+").fullmatch
 #: White space other than space and newline, or what one of the libraries may take for it.
-_ODD_SPACE = re.compile("[^\\S \n]|᠎|​|﻿|\x00")
+_ODD_SPACE = re.compile("[^\\S \n]|᠎|\u200b|\ufeff|\x00")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -60,27 +63,31 @@ class Encoder(dict):
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks, in few calls; the cache takes the short ones."""
         new: dict[str, bytes] = {}
-        plain = sorted(p for p in pieces if _LETTERS.fullmatch(p)) if self.mark else []
+        plain = list(filter(_LETTERS, pieces)) if self.mark else []
         for at in range(0, len(plain), LEARN):
             part = plain[at : at + LEARN]
             (got,) = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            raw = ids.tobytes()
-            new.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)]))))
-        todo = sorted(pieces.difference(new))
+            self._put(new, part, got.ids, lambda ids: np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
+        todo = list(pieces.difference(new)) if len(new) < len(pieces) else []
         for at in range(0, len(todo), LEARN):
             part = todo[at : at + LEARN]
             (got,) = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4")
-            ends = np.searchsorted(np.asarray(got.word_ids, np.int64), np.arange(len(part)), "right").tolist()
-            raw = ids.tobytes()
-            new.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1]], ends))))
+            self._put(new, part, got.ids, lambda _: np.searchsorted(np.asarray(got.word_ids, np.int64), np.arange(len(part)), "right"), 0)
         if len(self) + len(new) > CACHE_LIMIT:
             self.clear()
-        self.update((k, v) for k, v in new.items() if len(k) <= LONGEST_CACHED)
+        if len(max(new, key=len, default="")) <= LONGEST_CACHED:
+            self.update(new)
+        else:
+            self.update((k, v) for k, v in new.items() if len(k) <= LONGEST_CACHED)
         return new
 
+    @staticmethod
+    def _put(new: dict[str, bytes], part: list[str], ids: list[int], ends, gap: int) -> None:
+        ids = np.asarray(ids, "<u4")
+        to = ends(ids) * 4
+        starts = np.append(0, to[:-1] + 4 * gap)
+        new.update(zip(part, map(ids.tobytes().__getitem__, map(slice, starts.tolist(), to.tolist()))))
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -90,18 +97,14 @@ class Encoder(dict):
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids, as little-endian unsigned 32-bit numbers; none for null and empty texts."""
         out: list[bytes] = []
-        some: list[tuple[int, list[str]]] = []
+        some: list[tuple[int, list[str], list[bytes | None]]] = []
         lacking: set[str] = set()
+        get = self.get
 
         def join() -> None:
-            new = self.learn(lacking) if lacking else {}
-            for i, pieces in some:
-                try:
-                    out[i] = b"".join(map(self.__getitem__, pieces))
-                except KeyError:  # a long piece, or one that the cache has dropped
-                    had = {p: self[p] if p in self else new.get(p) for p in set(pieces)}
-                    had.update(self.learn({p for p, x in had.items() if x is None}))
-                    out[i] = b"".join(map(had.__getitem__, pieces))
+            new = self.learn(lacking)
+            for i, pieces, ids in some:
+                out[i] = b"".join([new[p] if x is None else x for p, x in zip(pieces, ids)])
             some.clear()
             lacking.clear()
 
@@ -109,15 +112,21 @@ class Encoder(dict):
             out.append(b"")
             if not text:
                 continue
-            if not self.cuts or _ODD_SPACE.search(text) or any(a in text for a in self.added):
+            other = _OTHER.search(text)
+            if not self.cuts or other and _ODD_SPACE.search(text) or any(a in text for a in self.added):
                 out[-1] = self.whole(text)
                 continue
-            pieces = _PIECES.findall(text)
-            some.append((len(out) - 1, pieces))
-            lacking.update(p for p in set(pieces) if p not in self)
-            if len(lacking) >= LEARN:
-                join()
-        join()
+            pieces = (_ANY_PIECES if other else _PIECES).findall(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                some.append((len(out) - 1, pieces, ids))
+                lacking.update([p for p, x in zip(pieces, ids) if x is None])
+                if len(lacking) >= 4 * LEARN:
+                    join()
+            else:
+                out[-1] = b"".join(ids)
+        if some:
+            join()
         return out
 
 
