@@ -27,7 +27,8 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds shard, size, text_crc32, law and slot to (key, text): slots are gapless in each shard, in order of key.
+    """Adds shard, size, text_crc32, law and slot to (key, text): slots are gapless in each shard, in order of the table's
+    parts, and of key within a part.
 
     grown: the weights with shards added, for grown_shard.
     """
@@ -40,9 +41,9 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
             F.lit("key").alias("law"),
             shard_of(F.col(key), weights).alias("shard"),
             (shard_of(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+            F.spark_partition_id().alias("_part"),
         ),
         "shards",
     )
     order = [F.col(key).asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
-    dealt = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
-    return gapless(dealt, "shard", "_part", order, "slot").select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return gapless(rows, "shard", "_part", order, "slot").select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
