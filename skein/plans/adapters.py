@@ -50,11 +50,12 @@ def links(d: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("src_doc_id"), slug.alias("dst_slug"), "dst_doc_id", "edge_type", F.lit(None).cast("string").alias("anchor_text"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    """The corpus, its postings kept as an index is, and its chunks that have a vector."""
     d = docs(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     chunks = d.select("id", F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("lang").alias("heading_path"), F.col("body").alias("text"))
-    return Corpus(d, C.alias_rows(d), chunks, links(d), C.postings(d, chunks)), chunks.join(vectors, "id")
+    return Corpus(d, C.alias_rows(d), chunks, links(d), C.postings(d, chunks).cache()), chunks.join(vectors, "id")
 
 
 def probe(spark: SparkSession, sf_dir: str) -> list[float]:
