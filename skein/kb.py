@@ -202,7 +202,7 @@ class KnowledgeBase:
     def search(self, query: str, mode: str = "balanced", limit: int | None = None, as_of: str | None = None) -> DataFrame:
         as_of = as_of or datetime.now(UTC).strftime("%Y-%m-%d %H:00:00")
         vector = self.embedder.embed_batch([query])[0]
-        return self._kept(("search", query, mode, limit, as_of), lambda: search.search(self.corpus, query, [float(x) for x in vector], mode, as_of, limit=limit).cache())  # a page of hits
+        return self._kept(("search", query, mode, limit, as_of), lambda: search.small(search.search(self.corpus, query, [float(x) for x in vector], mode, as_of, limit=limit)))  # a page of hits
 
     def think(self, query: str, mode: str = "balanced", as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(facts, gaps)."""

@@ -6,6 +6,8 @@ are a few dozen rows by the settings' limits.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ from skein.functions import text as T
 from skein.operators import corpus as C
 from skein.operators.corpus import Corpus
 
+def small(df: DataFrame) -> DataFrame:
+    """df computed and held as a local table, for results that a setting bounds to a few dozen rows and that several stages
+    use: plans stay short, and nothing is computed twice."""
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
 def query_words(spark: SparkSession, query: str) -> DataFrame:
     """(qi, qw, q_stem, is_last, budget) of the first MAX_QUERY_WORDS words; repeated words stay."""
     rows = spark.range(1).select(F.posexplode(F.slice(T.tokenize(F.lit(query)), 1, S.MAX_QUERY_WORDS)).alias("qi", "qw"), F.least(F.size(T.tokenize(F.lit(query))), F.lit(S.MAX_QUERY_WORDS)).alias("n"))
@@ -100,7 +108,10 @@ def lexical_search(c: Corpus, query: str, top_k: int = S.STRATEGY_TOP_K) -> Data
 
 def vector_search(chunks: DataFrame, vector: list[float], top_k: int = S.STRATEGY_TOP_K) -> DataFrame:
     """(chunk_id, sim) of the chunks (id, embedding) most like ``vector``; only positive ones. A task keeps top_k rows."""
-    sim = E.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)))
+    length = sum(float(x) ** 2 for x in vector) ** 0.5
+    unit = F.from_json(F.lit(json.dumps([float(x) / length for x in vector] if length else [])), "array<double>")
+    norm = F.sqrt(E.dot(F.col("embedding"), F.col("embedding")))
+    sim = F.when(norm > 0, F.coalesce(E.dot(F.col("embedding"), unit), F.lit(0.0)) / norm).otherwise(0.0)
     return chunks.select(F.col("id").alias("chunk_id"), F.round(sim, 6).alias("sim")).where("sim > 0").orderBy(F.desc("sim"), "chunk_id").limit(top_k)
 
 
@@ -199,12 +210,12 @@ def candidates(c: Corpus, lexical: DataFrame, vector: DataFrame, intent: str, ho
     fused = fuse([ranked(lexical, [way(n) for way, n in RULES], w_lex), ranked(vector, [F.desc("sim"), F.col("chunk_id")], w_vec)])
     docs = c.searchable.select(F.col("id").alias("doc_id"))
     chunks = c.chunks.select(F.col("id").alias("chunk_id"), "doc_id", "heading_path", "text")
-    hydrated = fused.join(chunks, "chunk_id").join(docs, "doc_id", "left_semi").cache()  # FUSED_TOP_K rows at most, used four times
-    seeds = hydrated.groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("score")).cache()
+    hydrated = small(fused.join(chunks, "chunk_id").join(docs, "doc_id", "left_semi"))  # FUSED_TOP_K rows at most
+    seeds = hydrated.groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("score"))
     edges = edges_both_ways(c.links, c.docs)
     boosted = adjacent_seeds(seeds, edges).select(F.col("id").alias("doc_id"), F.lit(True).alias("adjacent"))
     own = hydrated.join(boosted, "doc_id", "left").withColumn("score", F.col("score") * F.when(F.col("adjacent"), S.ADJACENT_BOOST).otherwise(1.0)).withColumn("injected", F.lit(False)).drop("adjacent")
-    more = inject(seeds, distances(seeds, edges, hops), c).withColumn("injected", F.lit(True))
+    more = small(inject(seeds, distances(seeds, edges, hops), c)).withColumn("injected", F.lit(True))  # MAX_INJECTED rows at most
     own = own.join(vector, "chunk_id", "left").join(lexical.select("chunk_id", "words_matched", "typo_count"), "chunk_id", "left")
     more = more.withColumn("sim", F.lit(0.0)).withColumn("words_matched", F.lit(None).cast("long")).withColumn("typo_count", F.lit(None).cast("long"))
     return own.unionByName(more)
@@ -251,8 +262,8 @@ def search(c: Corpus, query: str, vector: list[float], mode: str = "balanced", a
     """rank, slug, title, heading_path, snippet, score, evidence, doc_type, source_dir, updated_at: the whole pipeline, lazily."""
     intent = intent or query_intent(c, query)
     budget, hops, most = S.knobs(mode, intent)
-    lexical = lexical_search(c, query).cache()  # STRATEGY_TOP_K rows, as the next one
-    similar = vector_search(c.chunks.join(c.live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), vector).cache()
+    lexical = small(lexical_search(c, query))  # STRATEGY_TOP_K rows, as the next one
+    similar = small(vector_search(c.chunks.join(c.live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), vector))
     rows = best_by_slug(score_candidates(c, candidates(c, lexical, similar, intent, hops), query, intent, as_of))
     rows = rows.withColumn("snippet", T.snippet("text"))
     out = within_budget(rows, [F.desc("score"), F.col("slug")], T.token_estimate("snippet"), budget, most)

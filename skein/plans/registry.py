@@ -631,7 +631,7 @@ def name_boost(spark, d):
 
 def _scored(spark, d):
     c, lexical, similar = _search(spark, d)
-    lexical, similar = lexical.cache(), similar.cache()  # STRATEGY_TOP_K rows each
+    lexical, similar = R.small(lexical), R.small(similar)  # STRATEGY_TOP_K rows each
     return c, R.score_candidates(c, R.candidates(c, lexical, similar, "general", 1), QUERY, "general", AS_OF)
 
 
