@@ -8,11 +8,12 @@ same one. Finding them takes these steps:
    taken, that of the q-gram, and that of its context: all bytes that a window containing it can have.
 2. Equal contexts are repeats as a whole. Anchors that occur once are dropped. Contexts that are unique, though their
    anchor isn't, are compared.
-3. For that, contexts of an anchor meet in one place, CHUNK of them at most, many anchors at a time: their concatenation's
+3. A window around an anchor holds one of CORES longer strings around it, by how far it reaches to the left. Contexts none of
+   whose cores occurs twice are dropped. Of the rest, contexts of an anchor meet in one place, CHUNK of them at most, many anchors at a time: their concatenation's
    suffixes are sorted, and a breadth-first backward extension over its Burrows-Wheeler transform derives common prefixes
    by increasing value and stops at ``least``. Neighbours in suffix order without a value then share ``least`` bytes.
-4. Anchors with more contexts are dealt out over several chunks; these also give hashes of all their windows, which are
-   counted over all chunks.
+4. Anchors with more contexts are dealt out over several chunks; these also give hashes of all windows whose core occurs
+   twice, which are counted over all chunks.
 
 Texts that occur more than once are repeats as a whole if they have ``least`` bytes; they are counted like all others, but
 not searched further.
@@ -33,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, mix
+from .shared import claim, discard, materialize, mix
 
 #: Contexts of an anchor that meet in one place, and bytes whose suffixes are sorted together, about.
-CHUNK, BATCH_BYTES = 1024, 2 << 20
+CHUNK, BATCH_BYTES, CORES = 1024, 1 << 20, 4
 _SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,6 +196,7 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
     rows = docs.select(F.unhex(F.md5(body)).alias("uid"), body.alias("text")).where(F.octet_length("text") >= least)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -211,20 +213,44 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
     found = materialize(rows.mapInArrow(anchors, "h long, c long, uid binary, pos int"), "anchors")
     contexts = found.groupBy("h", "c").agg(F.count("*").alias("n"))
     several = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("edges")).where("all > 1")
-    several = several.select("h", F.when(F.col("edges") > 0, F.ceil(F.col("kinds") / CHUNK)).otherwise(0).cast("int").alias("chunks"))
-    status = contexts.join(several, "h").select("h", "c", (F.col("n") > 1).alias("whole"), "chunks")
+    several = several.select("h", (F.col("edges") > 0).alias("open"))
+    status = contexts.join(several, "h").select("h", "c", (F.col("n") > 1).alias("whole"), "open")
     known = materialize(found.join(status, ["h", "c"]), "known")
     copied = materialize(rows.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"), "copied")
     single = known.join(copied, "uid", "left_anti")
     # What is wanted of a text: whole contexts to remove (kind 0), contexts to compare (1), and one of each whole kind to compare with (2).
-    wanted = single.select("uid", F.when(F.col("whole"), 0).otherwise(1).alias("kind"), "h", "pos", "chunks")
-    samples = known.where("whole and chunks > 0").groupBy("h", "c").agg(F.min(F.struct("uid", "pos")).alias("s"), F.first("chunks").alias("chunks"))
-    wanted = wanted.unionByName(samples.select("s.uid", F.lit(2).alias("kind"), "h", "s.pos", "chunks"))
-    by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("kind", "h", "pos", "chunks")).alias("wanted"))
+    wanted = single.select("uid", F.when(F.col("whole"), 0).otherwise(1).alias("kind"), "h", "pos")
+    samples = known.where("whole and open").groupBy("h", "c").agg(F.min(F.struct("uid", "pos")).alias("s"))
+    wanted = wanted.unionByName(samples.select("s.uid", F.lit(2).alias("kind"), "h", "s.pos"))
+    by_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("kind", "h", "pos")).alias("wanted"))
     texts = rows.groupBy("uid").agg(F.first("text").alias("text"))
     work = materialize(texts.join(by_text, "uid"), "work")
     discard(found)
 
+    step = (least - q) // CORES
+    reach = [(g * step, least - q - (g + 1) * step if g < CORES - 1 else 0) for g in range(CORES)]  # left and right of the anchor
+
+    def core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part, out = b.slice(at, 64), []
+                for uid, t, wanted in zip(*(part.column(c).to_pylist() for c in ("uid", "text", "wanted"))):
+                    raw = t.encode("utf-8", "surrogatepass")
+                    for w in wanted:
+                        p = w["pos"]
+                        out += [(w["h"], g, xxhash.xxh3_64_intdigest(raw[p - i : p + q + j]) - (1 << 63), uid, p, w["kind"] == 2) for g, (i, j) in enumerate(reach) if p >= i and p + q + j <= len(raw)]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["h", "g", "core", "uid", "pos", "twice"])
+
+    asked = work.select("uid", "text", F.filter("wanted", lambda w: w["kind"] > 0).alias("wanted")).where("size(wanted) > 0")
+    cores = materialize(asked.mapInArrow(core, "h long, g int, core long, uid binary, pos int, twice boolean"), "cores")
+    shared = cores.groupBy("h", "g", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    chosen = cores.join(shared, ["h", "g", "core"]).groupBy("h", "uid", "pos").agg(F.max("twice").alias("twice"), F.bit_or(F.pow(F.lit(2), F.col("g")).cast("int")).alias("mask"))
+    chosen = materialize(chosen, "chosen")
+    dealt = chosen.join(chosen.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "h")
+    dealt = dealt.groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "twice", "mask", "chunks")).alias("wanted"))
+    pieces = work.select("uid", "text").join(dealt, "uid")
+
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
@@ -232,14 +258,14 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                 for uid, t, wanted in zip(*(part.column(c).to_pylist() for c in ("uid", "text", "wanted"))):
                     raw = t.encode("utf-8", "surrogatepass")
                     for w in wanted:
-                        if w["kind"]:
-                            low = max(w["pos"] + q - least, 0)
-                            chunk = xxhash.xxh3_64_intdigest(uid, w["pos"]) % w["chunks"]
-                            out.append((w["h"], chunk, w["chunks"] > 1, w["kind"] == 2, uid, low, raw[low : w["pos"] + least]))
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=["h", "chunk", "many", "twice", "uid", "low", "context"])
+                        low = max(w["pos"] + q - least, 0)
+                        chunk = xxhash.xxh3_64_intdigest(uid, w["pos"]) % w["chunks"]
+                        out.append((w["h"], chunk, w["mask"] if w["chunks"] > 1 else 0, w["twice"], uid, low, raw[low : w["pos"] + least], w["pos"]))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["h", "chunk", "mask", "twice", "uid", "low", "context", "pos"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         held, size, last = [], 0, None
 
         def done() -> pa.RecordBatch:
@@ -253,6 +279,8 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                 mine = on[at : at + len(r[6])]
                 if r[2]:
                     for i in range(len(r[6]) - least + 1):
+                        if not r[2] >> min((r[7] - r[5] - i) // step, CORES - 1) & 1:
+                            continue
                         p = xxhash.xxh3_128_digest(r[6][i : i + least])
                         if not mine[i] or (r[0], r[1], p) not in seen:
                             out.append((r[4], r[5] + i, r[5] + i + least, p, bool(mine[i])))
@@ -264,7 +292,7 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "low", "high", "probe", "sure"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "chunk", "many", "twice", "uid", "low", "context"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "chunk", "mask", "twice", "uid", "low", "context", "pos"))):
                 if row[:2] != last and size >= BATCH_BYTES:
                     yield done()
                     held, size = [], 0
@@ -273,8 +301,10 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                 size += len(row[6])
         if held:
             yield done()
+        held.clear()
+        claim()
 
-    pieces = work.select("uid", "text", F.filter("wanted", lambda w: w["kind"] > 0).alias("wanted")).where("size(wanted) > 0").mapInArrow(cut_out, "h long, chunk int, many boolean, twice boolean, uid binary, low int, context binary")
+    pieces = pieces.mapInArrow(cut_out, "h long, chunk int, mask int, twice boolean, uid binary, low int, context binary, pos int")
     met = pieces.repartition(shuffles, "h", "chunk").sortWithinPartitions("h", "chunk", "uid", "low")
     met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, probe binary, sure boolean"), "met")
     probes = met.where("probe is not null")
