@@ -6,11 +6,12 @@ start. Classes that share a band are candidates. Links are confirmed on the full
 
 1. from each class to the least classes of its buckets (a star, not all pairs), then
 2. from classes that a bucket still holds in different components to the likeliest others by signature, then
-3. between all classes that a bucket still holds in different components and whose signatures don't rule the link out.
+3. between every class and every other component that a bucket still holds with it, where signatures don't rule the link
+   out: such a class is compared with all of that component.
 
 A pair that shares a band is thus left out only if its two classes are in one component already, or its signatures differ
-by 4 standard errors from what a link would give. Steps 2 and 3 compare signatures in blocks of bounded size; no bucket
-is ever gathered.
+by 4 standard errors from what a link would give. Steps 2 and 3 work in blocks of bounded size, and step 3 makes a row
+for each class and component, not for each pair; no bucket is ever gathered.
 
 Cases: null text and texts without words have the empty set and link with nothing; a null doc_id takes part, but names no
 component unless all of its doc_ids are null; equal rows are linked; an empty table yields no rows; other columns are
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, components, discard, materialize, shingle_set
+from .shared import WordHashes, claim, components, discard, materialize, shingle_set
 
 #: Hash functions, members of a block, and partners that step 2 tries.
 HASHES, BLOCK, TRIES = 180, 256, 3
@@ -59,6 +60,7 @@ def sign(docs: DataFrame, k: int, percent: int) -> DataFrame:
     r = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_CACHE)
         for b in batches:
             n, digest, sig, bands = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -82,12 +84,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     pairs = pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).drop("chunks")
-    left = pairs.join(texts.withColumnRenamed("node", "a"), "a").select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("id"), "text")
-    right = pairs.select("b", "chunk").distinct().join(texts.withColumnRenamed("node", "b"), "b").select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("id"), "text")
+    left = pairs.join(texts.select(F.col("node").alias("a"), "text"), "a").select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("id"), "text")
+    right = pairs.select("b", "chunk").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("id"), "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = left.unionByName(right).repartition(n, "b", "chunk").sortWithinPartitions("b", "chunk", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_CACHE)
         against = np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
@@ -104,11 +107,63 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
+def least_agreement(percent: int) -> int:
+    """Equal bytes of two signatures that a link at the threshold falls short of by 4 standard errors only."""
+    s = percent / 100
+    p = s + (1 - s) / 256
+    return math.floor(HASHES * (p - 4 * math.sqrt(p * (1 - p) / HASHES)))
+
+
+def settle(open_: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes a with components c, open_ (a, c): a's full set against those of all of c, in blocks."""
+    nodes = texts.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    sizes = open_.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
+    sizes = sizes.join(nodes.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "c")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = open_.withColumnRenamed("a", "node").join(sizes, "c").withColumn("x", own("askers")).select("c", "x", every("blocks").alias("y"), F.lit(0).alias("role"), "node").join(texts, "node")
+    asked = nodes.join(sizes, "c").withColumn("y", own("blocks")).select("c", every("askers").alias("x"), "y", F.lit(1).alias("role"), "node", "text", "sig")
+    columns = ["c", "x", "y", "role", "node", "text", "sig"]
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asking.select(*columns).unionByName(asked.select(*columns)).repartition(n, "c", "x", "y").sortWithinPartitions("c", "x", "y", "role")
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asks, sigs, done = None, [], None, set()
+        for batch in batches:
+            a, b = [], []
+            for c, x, y, role, node, text, sig in zip(*(batch.column(n).to_pylist() for n in columns)):
+                if (c, x, y) != now:
+                    now, asks, sigs, done = (c, x, y), [], None, set()
+                sig = np.frombuffer(sig, np.uint8)
+                if role == 0:
+                    asks.append((node, shingle_set(text, k, _CACHE), sig))
+                    continue
+                if not asks:
+                    continue
+                if sigs is None:
+                    sigs = np.stack([s for _, _, s in asks])
+                mine = None
+                for i in np.flatnonzero((sigs == sig).sum(1) >= least).tolist():
+                    other, s, _ = asks[i]
+                    if i in done or other == node:
+                        continue
+                    mine = shingle_set(text, k, _CACHE) if mine is None else mine
+                    if 100 * min(len(s), len(mine)) < percent * max(len(s), len(mine)):
+                        continue
+                    both = np.intersect1d(s, mine, assume_unique=True).size
+                    if 100 * both >= percent * (len(s) + len(mine) - both):
+                        a.append(other), b.append(node), done.add(i)  # one link joins it to the component
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def unsettled(members: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, tries: int | None) -> DataFrame:
-    """Pairs of a bucket's classes that are in different components and that signatures leave open.
+    """Pairs (a, b) of a bucket's classes that are in different components and that signatures leave open.
 
-    tries: how many partners of each class a block gives, the likeliest; None: all. A bucket's largest component is
-    compared with its other rows only, not with itself, block by block.
+    tries: how many partners of each class a block gives, the likeliest; None: of all pairs the one class and the other's
+    component. A bucket's largest component is compared with its other rows only, not with itself, block by block.
     """
     rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
@@ -124,9 +179,7 @@ def unsettled(members: DataFrame, classes: DataFrame, parts: DataFrame, percent:
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["bucket", "kind", "x", "y"]
     rows = rows.select(*key, "minor", "own", "node", "component", "sig", "bands").repartition(n, *key).sortWithinPartitions(*key)
-    s = percent / 100
-    p = s + (1 - s) / 256
-    least = math.floor(HASHES * (p - 4 * math.sqrt(p * (1 - p) / HASHES)))
+    least = least_agreement(percent)
 
     def block(key: tuple, got: list[tuple]) -> list[tuple[int, int]]:
         bucket, kind, x, y = key
@@ -154,12 +207,14 @@ def unsettled(members: DataFrame, classes: DataFrame, parts: DataFrame, percent:
                 i, j = i[order], j[order]
                 keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < tries
                 i, j = i[keep], j[keep]
-            out += zip(na[rows][i].tolist(), nb[j].tolist())
-        return out
+                out += [(max(p), min(p)) for p in zip(na[rows][i].tolist(), nb[j].tolist())]
+            else:
+                out += set(zip(na[rows][i].tolist(), cb[j].tolist()))
+        return list(dict.fromkeys(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
         now, got = None, []
         for batch in batches:
@@ -187,22 +242,25 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
     members = materialize(banded.join(buckets, "bucket"), "members")
-    wanted = members.select("node").distinct().join(classes, "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    texts = materialize(wanted.join(rows, F.col("d").eqNullSafe(rows["doc_id"]) & (F.col("h") == rows["text_hash"])).select("node", "text"), "texts")
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "sig", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
+    texts = materialize(wanted.join(rows, F.col("d").eqNullSafe(rows["doc_id"]) & (F.col("h") == rows["text_hash"])).select("node", "text", "sig"), "texts")
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("p"), F.max("hub").alias("q"))
     stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
-    links = materialize(confirm(stars, texts, k, percent), "links")
-    parts = components(links)
+    parts = components(materialize(confirm(stars, texts, k, percent), "links"))
     members = members.drop("hub")
     for tries in (TRIES, None):
         pairs = materialize(unsettled(members, classes, parts, percent, tries), "pairs")
-        more = materialize(confirm(pairs, texts, k, percent), "links")
+        more = confirm(pairs, texts, k, percent) if tries else settle(pairs.withColumnRenamed("b", "c"), parts, texts, k, percent)
+        more = materialize(more, "links")
         if more.isEmpty():
-            if tries:
-                continue
-            break
-        links = links.unionByName(more)
-        parts = components(links)
+            continue
+        # From here on components are joined, not classes again.
+        ends = [parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+        between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        alone = joined.join(parts.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
+        parts = parts.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")).unionByName(alone)
+        parts = materialize(parts, "parts")
     discard(texts)
     named = classes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import claim, materialize
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, at long"
@@ -100,6 +100,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str = "
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        claim(enc)
         seen = np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import claim
+
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "signs", "wide", "spaces", "line_words", "ended_lines", "equal_lines",
     "distinct_words", "top_word", "distinct_pairs", "bytes_a_sign", "sign_runs", "capital_words", "long_words", "odd_signs", "byte_entropy", "bars",
@@ -157,6 +159,7 @@ def score(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") ->
     kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
             x = np.array([statistics(t) for t in b.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate([trees.scores(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.empty(0)]))], names=[*keep, "score"])

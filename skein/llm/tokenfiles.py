@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import claim
 from .tokens import encoder
 
 #: Stands for a null doc_id in docs-K.bin.
@@ -52,6 +53,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, k, attempt = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
+        claim(enc)
         out, here = _where(path)
         names = [f"{here}/{kind}-{k:06d}.bin" for kind in ("tokens", "local")]
         end, at, n = np.array([end_id], "<u4").tobytes(), 0, 0

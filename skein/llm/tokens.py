@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from .shared import _CACHES
+
 #: No piece of a text longer than this is kept in the cache.
 LONGEST_CACHED = 48
 #: Pieces in the cache at most; then it starts anew.
@@ -134,4 +136,5 @@ def encoder(path: str) -> Encoder:
     """One for each path and process."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+        _CACHES.append(_LOADED[path])
     return _LOADED[path]
