@@ -29,10 +29,16 @@ from pyspark.sql import functions as F
 
 from .shared import components, materialize
 
-SAMPLE, PROBES, BLOCK, RECALL, FLOOR, BINS = 8192, 256, 4096, 0.999, 0.02, 4096
+SAMPLE, PROBES, BLOCK, RECALL, FLOOR, BINS = 8192, 256, 4096, 0.999, 0.01, 4096
 
 
-def unit(vectors: list) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -59,7 +65,7 @@ class Grid:
 
     def __init__(self, sample: np.ndarray, rows: int):
         half = max(1, sample.shape[1] // 2)
-        k = int(np.clip(2 ** int(np.log2(max(1.0, np.sqrt(rows) / 6))), 1, 256))
+        k = int(np.clip(2 ** int(np.log2(max(1.0, np.sqrt(rows) / 3))), 1, 256))
         self.half, self.books = half, [codebook(sample[:, :half], k), codebook(sample[:, half:], k)] if sample.shape[1] > half else [codebook(sample, k), np.zeros((1, 0))]
         self.reach = FLOOR
 
@@ -97,7 +103,7 @@ def _grids(classes: DataFrame, cosine: float) -> dict[int, Grid]:
         def needed(batches: Iterator[pa.RecordBatch], grid=grid, probes=probes, pa_=pa_, pb=pb) -> Iterator[pa.RecordBatch]:
             h = np.zeros(BINS, np.int64)
             for b in batches:
-                y = unit(b.column("v").to_pylist())
+                y = unit(matrix(b.column("v")))
                 c1, c2, _, _ = grid.keys(y)
                 i, j = np.nonzero(probes @ y.T >= cosine)
                 h += np.bincount(np.minimum(((pa_[i, c1[j]] + pb[i, c2[j]]) / 0.5 * BINS).astype(int), BINS - 1), minlength=BINS)
@@ -144,14 +150,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
                 dims = np.array(part.column("dim").to_pylist())
                 for dim in np.unique(dims):
                     sub = part.take(pa.array(np.flatnonzero(dims == dim)))
-                    vs = sub.column("v").to_pylist()
-                    c1, c2, k1, k2 = grids[int(dim)].keys(unit(vs))
-                    out = []
-                    for i, (node, copies) in enumerate(zip(sub.column("node").to_pylist(), sub.column("copies").to_pylist())):
-                        out.append((int(dim), int(c1[i]), 0, node, copies, vs[i], [int(c2[i])]))
-                        out += [(int(dim), first, 1, node, copies, vs[i], seconds) for first, seconds in grids[int(dim)].visits(k1[i], k2[i])]
-                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["dim", "first", "role", "node", "copies", "v", "seconds"])
+                    c1, c2, k1, k2 = grids[int(dim)].keys(unit(matrix(sub.column("v"))))
+                    who, first, role, seconds = [], [], [], []
+                    for i in range(sub.num_rows):
+                        visits = grids[int(dim)].visits(k1[i], k2[i])
+                        who += [i] * (1 + len(visits))
+                        first += [int(c1[i]), *(f for f, _ in visits)]
+                        role += [0] + [1] * len(visits)
+                        seconds += [[int(c2[i])], *(x for _, x in visits)]
+                    at = pa.array(who)
+                    out = [pa.array([int(dim)] * len(who), pa.int32()), pa.array(first, pa.int32()), pa.array(role, pa.int32()), sub.column("node").take(at), sub.column("copies").take(at), sub.column("v").take(at), pa.array(seconds, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(out, names=["dim", "first", "role", "node", "copies", "v", "seconds"])
 
     placed = materialize(classes.select("dim", "node", "copies", "v").mapInArrow(place, "dim int, first int, role int, node long, copies long, v array<double>, seconds array<int>"), "cells")
     blocks = placed.groupBy("dim", "first").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("role") == k) / BLOCK)).cast("int").alias(f"n{k}") for k in (0, 1)))
@@ -161,22 +170,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     dealt = dealt.withColumn("x", F.explode(F.when(F.col("role") == 0, F.array(own(0))).otherwise(every(0)))).withColumn("y", F.explode(F.when(F.col("role") == 1, F.array(own(1))).otherwise(every(1))))
 
     def search(pdf_key: tuple, table: pa.Table) -> pa.Table:
-        role = np.array(table.column("role").to_pylist())
-        vs, ids, copies, cells = (table.column(c).to_pylist() for c in ("v", "node", "copies", "seconds"))
+        role, ids, w = (table.column(c).to_numpy() for c in ("role", "node", "copies"))
         res, vis = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         if not len(res) or not len(vis):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        x, w, ids = unit(vs), np.array(copies, np.int64), np.array(ids, np.int64)
-        width = 1 + max(max(c) for c in cells)
-        sees = np.zeros((len(vis), width), bool)
-        for i, k in enumerate(vis):
-            sees[i, cells[k]] = True
-        cell = np.array([cells[k][0] for k in res])
+        x = unit(matrix(table.column("v")))
+        cells = table.column("seconds").combine_chunks()
+        sizes, flat = np.diff(cells.offsets.to_numpy()), cells.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(role)), sizes)
+        sees = np.zeros((len(role), int(flat.max()) + 1), bool)
+        sees[owner, flat] = True
+        cell = sees[res].argmax(1)  # a resident has one
+        sees = sees[vis]
+        w = w[res]
         links, out = np.zeros(len(vis), np.int64), []
         for at in range(0, len(vis), 1024):
             part = vis[at : at + 1024]
             hit = (x[part] @ x[res].T >= cosine) & sees[at : at + 1024][:, cell] & (ids[part][:, None] != ids[res][None, :])
-            links[at : at + 1024] = hit @ w[res]
+            links[at : at + 1024] = hit @ w
             if hit.any():
                 r, c = _spanning(hit)
                 out += [(ids[part[i]], ids[part[r[i]]]) for i in np.flatnonzero(hit.any(1))] + [(ids[res[j]], ids[part[c[j]]]) for j in np.flatnonzero(hit.any(0))]
