@@ -37,6 +37,11 @@ def _long(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def _key() -> Column:
+    doc, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text"))
+    return F.md5(F.concat(doc, F.lit(":"), F.md5(text)))
+
+
 def targets(rows: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
     """skey, source_size, n_blocks, target of each source of rows (skey, size)."""
     by_name, before = Window.orderBy("skey"), Window.orderBy("level", "skey").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,22 +71,21 @@ def split(blocks: DataFrame, shards: int) -> DataFrame:
     return tree.withColumnRenamed("node", "shard")
 
 
-def mix(docs: DataFrame, shards: int = 8, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shards of each document, and the columns of ``keep``.
+def mix(docs: DataFrame, shards: int = 8, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, keyed: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shards of each document.
 
     taken: words that the mix takes, repeats counted: ``taken div size`` whole copies, then the first
-    ``taken mod size`` words. shards: the shards of these copies, in order, joined by commas.
+    ``taken mod size`` words. keyed: with a key of doc_id and text, too. shards: the shards of these copies, in order, joined by commas.
     """
     if shards & (shards - 1) or most < share:
         raise ValueError("shards must be a power of two, and most at least share")
-    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("string")
+    text = F.col("text").cast("string")
     rows = materialize(
         docs.select(
             F.col("doc_id"),
             F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("skey"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.coalesce(doc, F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))).alias("key"),
-            *(keep or []),
+            _key().alias("key"),
         ),
         "mix",
     )
@@ -105,10 +109,9 @@ def mix(docs: DataFrame, shards: int = 8, share: float = 1.5, most: float = 2.0,
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("inside")))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + F.when(part > 0, 1).otherwise(0)).cast("int")
     return out.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "size", "source_size", "target", *(["key"] if keyed else []),
         (F.col("passes") * F.col("size") + part).cast("long").alias("taken"),
         F.array_join(F.slice(F.coalesce("to", F.array().cast("array<int>")), 1, copies), ",").alias("shards"),
-        *(keep or []),
     )
 
 
@@ -117,13 +120,15 @@ def realize(docs: DataFrame, shards: int = 8, **how) -> DataFrame:
 
     n_chars, if there, is brought up to date.
     """
-    got = mix(docs.withColumn("_row", F.struct(*docs.columns)), shards, keep=["_row"], **how).where("taken > 0")
+    got = mix(docs, shards, keyed=True, **how).where("taken > 0").select("key", "size", "taken", "shards")
+    rows = docs.select(_key().alias("key"), F.struct(*docs.columns).alias("_row")).dropDuplicates(["key"])  # equal rows are copies of one
     whole, cut = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    copies = got.withColumn("_whole", whole).withColumn("_cut", cut).withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + (cut > 0).cast("int")).cast("int"))))
+    got = got.withColumn("_whole", whole).withColumn("_cut", cut).withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + (cut > 0).cast("int")).cast("int"))))
+    copies = got.join(rows, "key")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), 1, F.col("_cut").cast("int")), " ")
     text = F.when(F.col("_copy") <= F.col("_whole"), F.col("_row.text")).otherwise(first)
     at = F.split("shards", ",")[F.col("_copy") - 1].cast("int")
-    out = copies.select(at.alias("_shard"), F.xxhash64(F.lit("local"), "doc_id", "_copy").alias("_at"), *(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    out = copies.select(at.alias("_shard"), F.xxhash64(F.lit("local"), "key", "_copy").alias("_at"), *(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in docs.columns))
     return out.repartition("_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("_shard", "_at").drop("_shard", "_at")
 
 
