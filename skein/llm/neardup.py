@@ -83,7 +83,7 @@ def sign(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    pairs = pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).drop("chunks")
+    pairs = materialize(pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).drop("chunks"), "pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), "text"), "a").select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("id"), "text")
     right = pairs.select("b", "chunk").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("id"), "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
