@@ -4,6 +4,7 @@ A text is read as tokens: runs of bytes other than white space, cut after 16 cha
 if the least hash among its runs of S tokens is that of its first or of its last run: this depends on the window alone,
 so that an edit moves no anchor that it doesn't touch. The fingerprint is the anchors' 32-bit hashes in order of position,
 in hexadecimal; texts of 1 to K-1 tokens have one anchor, all of them, and texts without tokens the empty fingerprint.
+Some texts of K to 2K-S-2 tokens have no such window: their anchor is the window of least hash.
 Likeness is the share of distinct anchors that two fingerprints have in common, 2 |A & B| / (|A| + |B|), and 1 for two
 empty ones.
 
@@ -43,8 +44,9 @@ def anchors(text: Column) -> Column:
 
         def chosen(s: Column) -> Column:
             edge = lambda i: F.array_min(F.slice(s, i + 1, t)).isin(F.get(s, i), F.get(s, i + t - 1))
-            at = F.filter(F.sequence(F.lit(0), n - K), edge)
-            return F.transform(at, lambda i: low(F.xxhash64(F.slice(h, i + 1, K))))
+            every = F.sequence(F.lit(0), n - K)
+            hashes = lambda at: F.transform(at, lambda i: low(F.xxhash64(F.slice(h, i + 1, K))))
+            return let(F.filter(every, edge), lambda at: F.when(F.size(at) > 0, hashes(at)).otherwise(F.array(F.array_min(hashes(every)))))
 
         return F.when(n >= K, let(runs, chosen)).when(n > 0, F.array(low(F.xxhash64(h)))).otherwise(F.array().cast("array<bigint>"))
 

@@ -312,6 +312,24 @@ def test_anchors_are_closed_syncmers(spark):
     assert set(inner) <= found[0] & found[1] and 4 <= len(inner) <= 25 and len(found[2]) == 1
 
 
+def test_short_texts_have_anchors(spark):
+    rng = random.Random(5)
+    k = fingerprints.K
+    texts = [words(rng, n) for n in range(k, 2 * k) for _ in range(40)]
+    rows = [(i, j, " ".join(w[j : j + k] if j >= 0 else w)) for i, w in enumerate(texts) for j in range(-1, len(w) - k + 1)]
+    got = {(r["i"], r["j"]): r["a"] for r in spark.createDataFrame(rows, "i int, j int, t string").select("i", "j", fingerprints.anchors(F.col("t")).alias("a")).collect()}
+    least = 0
+    for i, w in enumerate(texts):
+        windows = [got[i, j] for j in range(len(w) - k + 1)]
+        assert all(len(x) == 1 for x in windows)
+        each, found = [x[0] for x in windows], got[i, -1]
+        assert found and found == [x for x in each if x in found]
+        least += len(w) > k and found == [min(each)]
+    assert least > 40
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert all(r["fingerprint"] and r["edited_fingerprint"] and r["near_next"] < 1 for r in fingerprints.compare(table).collect())
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(6)
     rows = [(i, " ".join(w.upper() + "!!" if i % 3 == 0 else w for w in words(rng, 50))) for i in range(600)]
