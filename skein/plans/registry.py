@@ -326,6 +326,14 @@ def links_table(spark, d):
     return C.resolve_dangling(c).select("src_doc_id", "dst_slug", "dst_doc_id")
 
 
+@query(sql("SELECT src_doc_id, dst_slug, edge_type, (SELECT arg_min(id, step) FROM one WHERE one.t = l.dst_slug)::BIGINT AS dst_doc_id FROM links l", "targets AS (SELECT DISTINCT dst_slug AS t FROM links)", _RESOLVED))
+def links_table_all(spark, d):
+    """The links of all documents, resolved anew."""
+    c, _ = A.corpus(spark, d)
+    c.links = c.links.withColumn("dst_doc_id", F.lit(None).cast("long"))
+    return C.resolve_dangling(c).select("src_doc_id", "dst_slug", "edge_type", "dst_doc_id")
+
+
 @query(sql("SELECT node, other::BIGINT AS other, dst_slug, edge_type FROM both_ways"))
 def neighbors(spark, d):
     c, _ = A.corpus(spark, d)
