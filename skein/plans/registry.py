@@ -683,9 +683,9 @@ def think_facts(spark, d):
     return think.facts(_hits(spark, d)[1]).select("rank", "slug", "lead", "evidence")
 
 
-def _facts(spark, d):
+def _facts(spark, d, part="id < 200"):
     c, _ = A.corpus(spark, d)
-    return c, c.live.where("id < 200").select(F.col("id").alias("rank"), "slug", "title", "updated_at", F.lit("weak_semantic").alias("evidence"))
+    return c, c.live.where(part).select(F.col("id").alias("rank"), "slug", "title", "updated_at", F.lit("weak_semantic").alias("evidence"))
 
 
 _DAYS = f"date_diff('day', updated_at::DATE, DATE '{AS_OF[:10]}')"
@@ -696,6 +696,12 @@ def gap_stale(spark, d):
     return think.stale(_facts(spark, d)[1], AS_OF)
 
 
+@query(sql(f"""SELECT slug, 'No updates on "' || title || '" (' || slug || ') since ' || updated_at || ' (' || {_DAYS} // 7 || ' weeks ago) — verify before relying on it.' AS message FROM live WHERE {_DAYS} > 45"""))
+def gap_stale_all(spark, d):
+    """Every live document is a fact."""
+    return think.stale(_facts(spark, d, "true")[1], AS_OF)
+
+
 @query("""SELECT * FROM (VALUES (0::BIGINT, 'Acme Corp', 'No doc exists for "Acme Corp".'), (1::BIGINT, 'Zara Quinn', 'No doc exists for "Zara Quinn".')) t(place, span, message)""")
 def gap_unknown(spark, d):
     return think.unknown(A.corpus(spark, d)[0], QUESTION).withColumnRenamed("at", "place")
@@ -706,9 +712,15 @@ def gap_dangling(spark, d):
     return think.dangling(*_facts(spark, d))
 
 
+@query(sql("""SELECT slug, dst_slug, '"' || slug || '" references missing doc "' || dst_slug || '" — a hole to fill.' AS message FROM links JOIN live ON id = src_doc_id WHERE dst_doc_id IS NULL"""))
+def gap_dangling_all(spark, d):
+    """Every live document is a fact."""
+    return think.dangling(*_facts(spark, d, "true"))
+
+
 @query("SELECT 'Little direct information is available about this query.' AS message")
 def gap_low_conf(spark, d):
-    return think.low_confidence(_facts(spark, d)[1])
+    return think.low_confidence(_facts(spark, d, "true")[1])
 
 
 @query(f"WITH {HALVES} SELECT coalesce(o.slug, n.slug) AS slug, CASE WHEN n.slug IS NULL THEN 'deleted' WHEN o.slug IS NULL THEN 'added' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'updated' END AS state FROM old o FULL JOIN new n ON o.slug = n.slug")

@@ -33,3 +33,17 @@ def test_links_of_all_documents(spark):
     got = agreed(spark, "links_table_all")
     assert {r["src_doc_id"] for r in got} == set(range(1000))
     assert any(r["dst_doc_id"] is not None and r["src_doc_id"] > 2 for r in got)
+
+
+@pytest.mark.parametrize("name", ["gap_stale_all", "gap_dangling_all"])
+def test_gaps_of_all_documents(spark, name):
+    assert max(number(r["slug"]) for r in agreed(spark, name)) > 900
+
+
+def test_low_confidence_reads_all_documents(spark, monkeypatch):
+    from skein.plans import registry
+
+    seen = []
+    monkeypatch.setattr(registry.think, "low_confidence", lambda found: seen.append(found.count()) or found.limit(0))
+    QUERIES["gap_low_conf"](spark, SF)
+    assert seen == [sum(i % 17 != 0 for i in range(1000))]
