@@ -358,6 +358,13 @@ def dangling_links(spark, d):
     return C.dangling(c, c.docs.where("id % 2 = 0").select("id"))
 
 
+@query(sql("SELECT slug, dst_slug FROM links JOIN docs ON id = src_doc_id WHERE dst_doc_id IS NULL"))
+def dangling_links_all(spark, d):
+    """Those of all documents."""
+    c, _ = A.corpus(spark, d)
+    return C.dangling(c, c.docs.select("id"))
+
+
 @query(sql("SELECT (SELECT count(*) FROM live)::BIGINT AS docs, (SELECT count(*) FROM docs WHERE deleted_at IS NOT NULL)::BIGINT AS deleted_docs, (SELECT count(*) FROM live)::BIGINT AS chunks, (SELECT count(DISTINCT word) FROM postings)::BIGINT AS indexed_words, (SELECT count(*) FROM links)::BIGINT AS links, (SELECT count(*) FROM links WHERE dst_doc_id IS NULL)::BIGINT AS dangling_links"))
 def stats_scalars(spark, d):
     return C.stats(A.corpus(spark, d)[0])

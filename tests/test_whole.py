@@ -47,3 +47,7 @@ def test_low_confidence_reads_all_documents(spark, monkeypatch):
     monkeypatch.setattr(registry.think, "low_confidence", lambda found: seen.append(found.count()) or found.limit(0))
     QUERIES["gap_low_conf"](spark, SF)
     assert seen == [sum(i % 17 != 0 for i in range(1000))]
+
+
+def test_dangling_links_of_all_documents(spark):
+    assert {number(r["slug"]) % 2 for r in agreed(spark, "dangling_links_all")} == {0, 1}
