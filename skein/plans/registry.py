@@ -451,6 +451,12 @@ def classify_intent(spark, d):
     return conversations(spark, d).select("conv_id", "turn", T.classify_intent(F.expr(_ASK), F.col("turn") == 0).alias("intent"))
 
 
+@query()
+def classify_intent_all(spark, d):
+    """Of whole texts."""
+    return conversations(spark, d).select("conv_id", "turn", T.classify_intent("text", F.col("turn") == 0).alias("intent"))
+
+
 @query()
 def fnv1a(spark, d):
     return _words(spark, d).select("word", E.fnv1a_column(F.col("word")).alias("hash"))

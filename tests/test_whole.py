@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from skein import settings as S
 
 SF = "/root/testdata/sf0.01"
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -51,3 +53,21 @@ def test_low_confidence_reads_all_documents(spark, monkeypatch):
 
 def test_dangling_links_of_all_documents(spark):
     assert {number(r["slug"]) % 2 for r in agreed(spark, "dangling_links_all")} == {0, 1}
+
+
+def intent(text: str, known: bool) -> str:
+    found = lambda pattern: re.search(pattern, text, re.I)
+    if found(S.ENTITY_LEAD) or len(text.split()) <= 6 and known:
+        return "entity"
+    return "temporal" if found(S.TEMPORAL) else "event" if found(S.EVENT) else "general"
+
+
+def test_intent_of_whole_texts(spark, tmp_path):
+    pad = "plain words that mean nothing at all to any of the rules here, so to say, "
+    rows = [(1, 1, pad + "until yesterday"), (2, 1, pad + "at the keynote"), (3, 0, pad + "x"), (4, 0, "one two three four five " + "x" * 60 + " seven"), (5, 1, pad), (6, 0, "some name"), (7, 1, "who is " + pad)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["intent"] for r in QUERIES["classify_intent_all"](spark, str(tmp_path)).collect()}
+    assert got == {c: intent(t, k == 0) for c, k, t in rows} == {1: "temporal", 2: "event", 3: "general", 4: "general", 5: "general", 6: "entity", 7: "entity"}
+    texts = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    got = sorted((r["conv_id"], r["turn"], r["intent"]) for r in QUERIES["classify_intent_all"](spark, SF).collect())
+    assert got == sorted((r["conv_id"], r["turn"], intent(r["text"], r["turn"] == 0)) for r in texts)
