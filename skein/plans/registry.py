@@ -76,8 +76,7 @@ def scan_oversize(spark, d):
 
 @query()
 def scan_bad_utf8(spark, d):
-    rows = documents(spark, d).select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 101).alias("head"))
-    return rows.where(~F.is_valid_utf8(F.col("head").cast("string"))).select("doc_id")
+    return documents(spark, d).where(~F.is_valid_utf8(F.col("text").cast("string"))).select("doc_id")
 
 
 @query(r"SELECT page_id, regexp_replace(translate(url, '\', '/') || CASE page_id % 2 WHEN 0 THEN '.md' ELSE '.MD' END, '(?i)\.md$', '') AS slug FROM pages")

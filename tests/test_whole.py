@@ -71,3 +71,10 @@ def test_intent_of_whole_texts(spark, tmp_path):
     texts = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()
     got = sorted((r["conv_id"], r["turn"], r["intent"]) for r in QUERIES["classify_intent_all"](spark, SF).collect())
     assert got == sorted((r["conv_id"], r["turn"], intent(r["text"], r["turn"] == 0)) for r in texts)
+
+
+def test_bad_utf8_anywhere(spark, tmp_path):
+    texts = ["é" * 60, "a" + "é" * 60, "x" * 500, "", None, b"\xff", b"x" * 300 + b"\xc3\x28", b"x" * 300 + b"\xc3"]
+    rows = [(i, t.encode() if isinstance(t, str) else t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in QUERIES["scan_bad_utf8"](spark, str(tmp_path)).collect()) == [5, 6, 7]
