@@ -4,7 +4,8 @@ Vectors are scaled to length 1 and cut into two halves, each with a codebook of
 grid of cells. A vector visits cells by the multi-sequence order: ascending sums of two keys, one for each half. The key
 of a half's centroid is ((its distance - the nearest centroid's distance) / 2) squared, a lower bound of the squared
 distance that a point of its cells has in that half; the visit ends at the sum that, on a sample of vectors searched by
-brute force over all rows, reaches the target recall, and never before FLOOR. All vectors met are verified in double
+brute force over all rows, reaches the target recall (the mean over those with links, itself left out), and never before
+FLOOR; if fewer than LINKED of the sample have links, it ends at 2 - 2 cosine, which misses none. All vectors met are verified in double
 precision.
 
 Equal vectors are one class from the start. Cells of one first half are searched together, in blocks of at most BLOCK
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, materialize
 
-SAMPLE, PROBES, BLOCK, RECALL, FLOOR, BINS = 8192, 256, 4096, 0.999, 0.01, 4096
+SAMPLE, PROBES, BLOCK, RECALL, FLOOR, BINS, LINKED = 8192, 256, 4096, 0.999, 0.01, 4096, 32
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -97,25 +98,28 @@ def _grids(classes: DataFrame, cosine: float) -> dict[int, Grid]:
         some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).toPandas()
         x = unit(some["v"].tolist())
         grids[dim] = grid = Grid(x, n)
-        probes, ids = x[:PROBES], set(some["node"][:PROBES])
+        probes, ids = x[:PROBES], some["node"].to_numpy()[:PROBES]
         _, _, pa_, pb = grid.keys(probes)
 
-        def needed(batches: Iterator[pa.RecordBatch], grid=grid, probes=probes, pa_=pa_, pb=pb) -> Iterator[pa.RecordBatch]:
-            h = np.zeros(BINS, np.int64)
+        def needed(batches: Iterator[pa.RecordBatch], grid=grid, probes=probes, ids=ids, pa_=pa_, pb=pb) -> Iterator[pa.RecordBatch]:
+            h = np.zeros(len(ids) * BINS, np.int64)
             for b in batches:
                 y = unit(matrix(b.column("v")))
                 c1, c2, _, _ = grid.keys(y)
-                i, j = np.nonzero(probes @ y.T >= cosine)
-                h += np.bincount(np.minimum(((pa_[i, c1[j]] + pb[i, c2[j]]) / 0.5 * BINS).astype(int), BINS - 1), minlength=BINS)
+                i, j = np.nonzero((probes @ y.T >= cosine) & (ids[:, None] != b.column("node").to_numpy()))
+                h += np.bincount(i * BINS + np.minimum(((pa_[i, c1[j]] + pb[i, c2[j]]) / 0.5 * BINS).astype(int), BINS - 1), minlength=len(h))
             at = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(h[at])], names=["bin", "n"])
-
-        seen = np.zeros(BINS, np.int64)
-        for r in classes.where(F.col("dim") == dim).select("v").mapInArrow(needed, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows
-            seen[r["bin"]] = r["n"]
-        if seen.sum() > len(ids):
-            share = np.cumsum(seen) / seen.sum()
-            grid.reach = max(FLOOR, (int(np.searchsorted(share, RECALL)) + 1) * 0.5 / BINS)
+            yield pa.RecordBatch.from_arrays([pa.array(at // BINS), pa.array(at % BINS), pa.array(h[at])], names=["probe", "bin", "n"])
+
+        links = classes.where(F.col("dim") == dim).select("v", "node").mapInArrow(needed, "probe long, bin long, n long").groupBy("probe", "bin").agg(F.sum("n").alias("n"))
+        seen = np.zeros((len(ids), BINS))
+        for r in links.collect():  # PROBES by BINS rows at most, a few bins a probe
+            seen[r["probe"], r["bin"]] = r["n"]
+        seen = seen[seen.any(1)]
+        grid.reach = 2 - 2 * cosine
+        if len(seen) >= LINKED:
+            share = np.cumsum((seen / seen.sum(1, keepdims=True)).mean(0))
+            grid.reach = min(grid.reach, max(FLOOR, (int(np.searchsorted(share, RECALL)) + 1) * 0.5 / BINS))
     return grids
 
 

@@ -233,6 +233,23 @@ def test_near_vectors(spark):
     assert not rows_of(embdup.near_vectors(df.limit(0)))
 
 
+def test_cutoff_of_vectors(spark):
+    rng = np.random.default_rng(8)
+    apart = rng.normal(size=(600, 64))
+    near = apart[:200] + 0.02 * rng.normal(size=(200, 64))
+
+    def reach(*parts) -> float:
+        rows = [(i, v.tolist(), v.size) for i, v in enumerate(np.concatenate(parts))]
+        return embdup._grids(spark.createDataFrame(rows, "node long, v array<double>, dim int"), 0.9)[parts[0].shape[1]].reach
+
+    assert reach(apart) == pytest.approx(0.2)
+    assert reach(apart, near) == embdup.FLOOR
+    few = rng.normal(size=(1500, 8))
+    hot, far = few[0] + 0.001 * rng.normal(size=(500, 8)), few[500:1000] + 0.15 * rng.normal(size=(500, 8))
+    assert 0.02 < reach(few, hot, far) <= 0.2
+
+
+
 def brute_repeats(raws: list[bytes], least: int) -> list[tuple[int, int, bytes]]:
     seen = Counter(r[i : i + least] for r in raws for i in range(len(r) - least + 1))
     out = []
