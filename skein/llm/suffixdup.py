@@ -9,11 +9,14 @@ same one. Finding them takes these steps:
 2. Equal contexts are repeats as a whole. Anchors that occur once are dropped. Contexts that are unique, though their
    anchor isn't, are compared.
 3. A window around an anchor holds one of CORES longer strings around it, by how far it reaches to the left. Contexts none of
-   whose cores occurs twice are dropped. Of the rest, contexts of an anchor meet in one place, CHUNK of them at most, many anchors at a time: their concatenation's
-   suffixes are sorted, and a breadth-first backward extension over its Burrows-Wheeler transform derives common prefixes
-   by increasing value and stops at ``least``. Neighbours in suffix order without a value then share ``least`` bytes.
-4. Anchors with more contexts are dealt out over several chunks; these also give hashes of all windows whose core occurs
-   twice, which are counted over all chunks.
+   whose cores occurs twice are dropped. Of the rest, contexts of an anchor meet in one place. An anchor's place follows from
+   the rarest anchor of the texts that hold it, so that anchors near each other in near copies of a text share a place: contexts of a
+   text that overlap there are joined to one stretch. The suffixes of a place's stretches are sorted, and a breadth-first
+   backward extension over their Burrows-Wheeler transform derives common prefixes by increasing value and stops at
+   ``least``. Neighbours in suffix order without a value then share ``least`` bytes.
+4. A place has LIMIT contexts, about: the anchors of a larger one are dealt out by a hash. Anchors with more than CHUNK contexts
+   are dealt out over several chunks of their place; these also give hashes of all windows whose core occurs twice, which
+   are counted over all chunks.
 
 Texts that occur more than once are repeats as a whole if they have ``least`` bytes; they are counted like all others, but
 not searched further.
@@ -31,13 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import claim, discard, materialize, mix
 
-#: Contexts of an anchor that meet in one place, and bytes whose suffixes are sorted together, about.
-CHUNK, BATCH_BYTES, CORES = 1024, 1 << 20, 4
+#: Contexts of an anchor that meet in one place, of all anchors of a place, bytes of a text whose anchors share a place, and bytes
+#: whose suffixes are sorted together, about.
+CHUNK, LIMIT, REGION, BATCH_BYTES, CORES = 1024, 1 << 14, 4096, 1 << 20, 4
 _SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +92,7 @@ def suffix_array(t: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(k):
         key = (key << 9) | np.where(rest > i, padded[i : i + n], 0)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)  # ties may come in any order
     sorted_key = key[sa]
     head = np.append(True, sorted_key[1:] != sorted_key[:-1])
     rank = np.empty(n, np.int64)
@@ -102,7 +106,7 @@ def suffix_array(t: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
             break
         who = sa[at]
         second = rank[np.minimum(who + k, n - 1)]
-        order = np.lexsort((second, rank[who])) if n > 1 << 31 else np.argsort(rank[who] * n + second, kind="stable")
+        order = np.lexsort((second, rank[who])) if n > 1 << 31 else np.argsort(rank[who] * n + second)
         who, second = who[order], second[order]
         sa[at] = who
         # a new group begins where the group or the second half changes
@@ -138,7 +142,7 @@ def bounded_prefixes(t: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
             c = bwt[at]
             at, owner, c = at[c > 0], owner[c > 0], c[c > 0]
             to = lf[at]
-            order = np.argsort(to, kind="stable")
+            order = np.argsort(to)
             to, owner, c = to[order], owner[order], c[order]
             new = np.append(True, (owner[1:] != owner[:-1]) | (c[1:] != c[:-1])) if len(to) else np.empty(0, bool)
             a = np.concatenate([a, to[new]])
@@ -151,31 +155,34 @@ def bounded_prefixes(t: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
     return lcp[:n]
 
 
-def repeated(contexts: list[bytes], where: np.ndarray, twice: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the concatenated contexts (a separator after each) which places start a repeated window; the offsets of contexts.
+def repeated(stretches: list[bytes], where: np.ndarray, twice: list[tuple[int, int, int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the concatenated stretches (a separator after each) which places start a repeated window; the offsets of stretches.
 
-    where: a number for each context, such that number + offset identifies a place of the corpus. twice: contexts that
-    are known to occur again.
+    where: a number for each stretch, such that number + offset identifies a place of the corpus. twice: (stretch, first,
+    last) starts of windows that are known to occur again.
     """
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    sizes = np.array([len(c) for c in stretches], np.int64)
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
     t = np.zeros(int(ends[-1]), np.int16)
     body = np.ones(len(t), bool)
     body[ends - 1] = False
-    t[body] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int16) + 1
-    ctx = np.repeat(np.arange(len(contexts)), sizes + 1)
-    rest = ends[ctx] - 1 - np.arange(len(t))
+    t[body] = np.frombuffer(b"".join(stretches), np.uint8).astype(np.int16) + 1
+    of = np.repeat(np.arange(len(stretches)), sizes + 1)
+    rest = ends[of] - 1 - np.arange(len(t))
+    again = np.zeros(len(t), bool)
+    for i, first, last in twice:
+        again[starts[i] + first : starts[i] + last + 1] = True
     sa = suffix_array(t, rest, least)
     lcp = bounded_prefixes(t, sa, least)
     long = rest[sa] >= least
     joined = (lcp < 0) & long & np.append(False, long[:-1])
     group = np.cumsum(~joined) - 1
     with np.errstate(over="ignore"):
-        place = where[ctx[sa]] + (sa - starts[ctx[sa]])
+        place = where[of[sa]] + (sa - starts[of[sa]])
     firsts = np.flatnonzero(~joined)
     differ = np.minimum.reduceat(place, firsts) != np.maximum.reduceat(place, firsts)
-    differ |= np.logical_or.reduceat(twice[ctx[sa]], firsts)
+    differ |= np.logical_or.reduceat(again[sa], firsts)
     out = np.zeros(len(t), bool)
     out[sa] = differ[group] & long
     return out, starts
@@ -186,9 +193,26 @@ def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copied, cut): uids of texts that occur more than once; uid, kept (bytes), n_removed, n_spans of texts that occur once
-    and lose something. uid is the MD5 of the text."""
+MARKS = pa.list_(pa.struct([("pos", pa.int32()), ("mask", pa.int32()), ("twice", pa.bool_())]))
+
+
+def places(chosen: DataFrame) -> DataFrame:
+    """h, spot, chunks: where the contexts of each anchor of ``chosen`` (h, uid, pos) meet."""
+    size = materialize(chosen.groupBy("h").agg(F.count("*").alias("n"), F.min("pos").alias("first")), "sizes")
+    held = materialize(chosen.select("h", "uid").distinct().join(size.select("h", "n"), "h"), "held")
+    rarest = materialize(held.groupBy("uid").agg(F.min(F.struct("n", "h")).alias("lead")), "rarest")  # a row for each text
+    homes = held.join(rarest, "uid").groupBy("h").agg(F.min("lead").alias("home"))
+    homes = homes.join(size, "h").withColumn("region", F.floor(F.col("first") / REGION))
+    rooms = F.ceil(F.sum("n").over(Window.partitionBy("home", "region")) / LIMIT)
+    spot = F.xxhash64("home.h", "region", F.pmod(F.xxhash64("h"), rooms))
+    return materialize(homes.select("h", spot.alias("spot"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "places")
+
+
+def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(copied, cut, made): uids of texts that occur more than once; uid, kept (what is left), sha (of its
+    bytes), n_removed, n_spans of texts that occur once
+    and lose something. uid is the MD5 of the
+    text; made: tables to discard when copied and cut have been read."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = max(8, 2 * least // 5)
@@ -212,10 +236,11 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
 
     found = materialize(rows.mapInArrow(anchors, "h long, c long, uid binary, pos int"), "anchors")
     contexts = found.groupBy("h", "c").agg(F.count("*").alias("n"))
-    several = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("edges")).where("all > 1")
-    several = several.select("h", (F.col("edges") > 0).alias("open"))
-    status = contexts.join(several, "h").select("h", "c", (F.col("n") > 1).alias("whole"), "open")
-    known = materialize(found.join(status, ["h", "c"]), "known")
+    several = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("edges")).where("all > 1")
+    several = materialize(several.select("h", (F.col("edges") > 0).alias("open")), "several")  # joins of tables: Spark splits a hot h
+    kinds = materialize(found.join(several, "h"), "anchors")
+    whole = kinds.groupBy("h", "c").agg((F.count("*") > 1).alias("whole"))
+    known = materialize(kinds.join(whole, ["h", "c"]), "known")
     copied = materialize(rows.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"), "copied")
     single = known.join(copied, "uid", "left_anti")
     # What is wanted of a text: whole contexts to remove (kind 0), contexts to compare (1), and one of each whole kind to compare with (2).
@@ -247,8 +272,9 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
     shared = cores.groupBy("h", "g", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     chosen = cores.join(shared, ["h", "g", "core"]).groupBy("h", "uid", "pos").agg(F.max("twice").alias("twice"), F.bit_or(F.pow(F.lit(2), F.col("g")).cast("int")).alias("mask"))
     chosen = materialize(chosen, "chosen")
-    dealt = chosen.join(chosen.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "h")
-    dealt = dealt.groupBy("uid").agg(F.collect_list(F.struct("h", "pos", "twice", "mask", "chunks")).alias("wanted"))
+    dealt = chosen.join(places(chosen), "h")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("uid", F.shiftright("pos", 16)), F.col("chunks")).cast("int")).withColumn("mask", F.when(F.col("chunks") > 1, F.col("mask")).otherwise(0))
+    dealt = dealt.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("spot", "chunk", "pos", "mask", "twice"))).alias("wanted"))
     pieces = work.select("uid", "text").join(dealt, "uid")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,55 +283,66 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                 part, out = b.slice(at, 64), []
                 for uid, t, wanted in zip(*(part.column(c).to_pylist() for c in ("uid", "text", "wanted"))):
                     raw = t.encode("utf-8", "surrogatepass")
+                    now = None
                     for w in wanted:
-                        low = max(w["pos"] + q - least, 0)
-                        chunk = xxhash.xxh3_64_intdigest(uid, w["pos"]) % w["chunks"]
-                        out.append((w["h"], chunk, w["mask"] if w["chunks"] > 1 else 0, w["twice"], uid, low, raw[low : w["pos"] + least], w["pos"]))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["h", "chunk", "mask", "twice", "uid", "low", "context", "pos"])
+                        pos, key = w["pos"], (w["spot"], w["chunk"])
+                        low, high = max(pos + q - least, 0), min(pos + least, len(raw))
+                        if key != now or low > end:
+                            if now:
+                                out.append((*now, uid, start, raw[start:end], marks))
+                            now, start, marks = key, low, []
+                        end = high
+                        if w["mask"] or w["twice"]:
+                            marks.append((pos, w["mask"], w["twice"]))
+                    if now:
+                        out.append((*now, uid, start, raw[start:end], marks))
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), MARKS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["spot", "chunk", "uid", "low", "stretch", "marks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         held, size, last = [], 0, None
 
         def done() -> pa.RecordBatch:
-            uids = [r[4] for r in held]
+            uids = [r[2] for r in held]
             where = np.array([int.from_bytes(u[:8], "little", signed=True) for u in uids], np.int64)
             with np.errstate(over="ignore"):
-                where = where + np.array([r[5] for r in held], np.int64)
-            on, starts = repeated([r[6] for r in held], where, np.array([r[3] for r in held]), least)
+                where = where + np.array([r[3] for r in held], np.int64)
+            known = [(i, max(m["pos"] + q - least - r[3], 0), min(m["pos"] - r[3], len(r[4]) - least)) for i, r in enumerate(held) for m in r[5] if m["twice"]]
+            on, starts = repeated([r[4] for r in held], where, known, least)
             out, seen = [], set()
             for r, at in zip(held, starts.tolist()):
-                mine = on[at : at + len(r[6])]
-                if r[2]:
-                    for i in range(len(r[6]) - least + 1):
-                        if not r[2] >> min((r[7] - r[5] - i) // step, CORES - 1) & 1:
-                            continue
-                        p = xxhash.xxh3_128_digest(r[6][i : i + least])
-                        if not mine[i] or (r[0], r[1], p) not in seen:
-                            out.append((r[4], r[5] + i, r[5] + i + least, p, bool(mine[i])))
-                            if mine[i]:
-                                seen.add((r[0], r[1], p))
-                if not r[3]:
-                    out += [(r[4], r[5] + i, r[5] + j - 1 + least, None, True) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
+                mine = on[at : at + len(r[4])]
+                for m in r[5]:
+                    if m["mask"]:
+                        here = m["pos"] - r[3]
+                        for i in range(max(here + q - least, 0), min(here, len(r[4]) - least) + 1):
+                            if not m["mask"] >> min((here - i) // step, CORES - 1) & 1:
+                                continue
+                            p = xxhash.xxh3_128_digest(r[4][i : i + least])
+                            if not mine[i] or (r[0], r[1], p) not in seen:
+                                out.append((r[2], r[3] + i, r[3] + i + least, p, bool(mine[i])))
+                                if mine[i]:
+                                    seen.add((r[0], r[1], p))
+                out += [(r[2], r[3] + i, r[3] + j - 1 + least, None, True) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
             kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "low", "high", "probe", "sure"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "chunk", "mask", "twice", "uid", "low", "context", "pos"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("spot", "chunk", "uid", "low", "stretch", "marks"))):
                 if row[:2] != last and size >= BATCH_BYTES:
                     yield done()
                     held, size = [], 0
                 last = row[:2]
                 held.append(row)
-                size += len(row[6])
+                size += len(row[4])
         if held:
             yield done()
         held.clear()
         claim()
 
-    pieces = pieces.mapInArrow(cut_out, "h long, chunk int, mask int, twice boolean, uid binary, low int, context binary, pos int")
-    met = pieces.repartition(shuffles, "h", "chunk").sortWithinPartitions("h", "chunk", "uid", "low")
+    pieces = pieces.mapInArrow(cut_out, "spot long, chunk int, uid binary, low int, stretch binary, marks array<struct<pos int, mask int, twice boolean>>")
+    met = pieces.repartition(shuffles, "spot", "chunk").sortWithinPartitions("spot", "chunk", "uid", "low")
     met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, probe binary, sure boolean"), "met")
     probes = met.where("probe is not null")
     again = probes.groupBy("probe").agg(F.min(F.struct("uid", "low")).alias("x"), F.max(F.struct("uid", "low")).alias("y"), F.max("sure").alias("sure")).where("sure or x <> y").select("probe")
@@ -328,42 +365,39 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                         step[s["high"]] -= 1
                     off = np.cumsum(step[:-1]) > 0
                     if off.any():
-                        out.append((uid, np.frombuffer(raw, np.uint8)[~off].tobytes(), int(off.sum()), len(_runs(off)[0])))
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["uid", "kept", "n_removed", "n_spans"])
+                        kept = np.frombuffer(raw, np.uint8)[~off].tobytes()
+                        out.append((uid, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest(), int(off.sum()), len(_runs(off)[0])))
+                kinds = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "kept", "sha", "n_removed", "n_spans"])
 
-    cut = whole.join(spans, "uid", "left").where("size(whole) > 0 or spans is not null").mapInArrow(remove, "uid binary, kept binary, n_removed long, n_spans long")
-    return copied, cut
+    cut = whole.join(spans, "uid", "left").where("size(whole) > 0 or spans is not null").mapInArrow(remove, "uid binary, kept string, sha string, n_removed long, n_spans long")
+    return copied, cut, [work, copied, known, chosen, met]
 
 
 def report(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    copied, cut = find(docs, least, text)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left of it) of each row."""
+    copied, cut, made = find(docs, least, text)
     none = hashlib.sha256(b"").hexdigest()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.md5(body)).alias("uid"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
-    gone = copied.select("uid", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(none).alias("sha"))
-    found = materialize(cut.select("uid", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).unionByName(gone), "found")
+    rows = docs.select("doc_id", F.unhex(F.md5(body)).alias("uid"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"), body.alias("body"))
+    gone = copied.select("uid", F.lit("").alias("kept"), F.lit(none).alias("sha"), F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
+    found = materialize(cut.unionByName(gone), "found")
+    discard(*made)
     out = rows.join(found, "uid", "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(F.col("n_removed") == -1, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("kept", "body").alias("text"),
     )
 
 
 def strip(docs: DataFrame, least: int, text: str = "text") -> DataFrame:
     """docs with repeats removed from their texts; n_chars, if there, is brought up to date."""
-    copied, cut = find(docs, least, text)
-    found = cut.select("uid", F.col("kept")).unionByName(copied.select("uid", F.lit(b"").alias("kept")))
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())], names=["_uid", "_kept"])
-
-    found = materialize(found.mapInArrow(decoded, "_uid binary, _kept string"), "found")
-    rows = docs.withColumn("_uid", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
-    out = rows.join(found, "_uid", "left").withColumn(text, F.coalesce("_kept", text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    copied, cut, made = find(docs, least, text)
+    found = materialize(cut.select("uid", "kept").unionByName(copied.select("uid", F.lit("").alias("kept"))), "found")
+    discard(*made)
+    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("uid"), F.struct(*docs.columns).alias("row"))
+    left = F.coalesce("kept", F.col("row").getField(text).cast("string"))
+    length = F.coalesce(F.length(left), F.lit(0))
+    new = {text: left} | ({"n_chars": length.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.join(found, "uid", "left").select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

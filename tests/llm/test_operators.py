@@ -267,7 +267,7 @@ def test_repeats(docs, nothing, monkeypatch, chunk):
     monkeypatch.setattr(suffixdup, "CHUNK", chunk)
     raws = [(t or "").encode() for _, t, _ in ROWS]
     for least in (400, 60):
-        expected = Counter((d, len(r), n, s, hashlib.sha256(k).hexdigest()) for (d, _, _), r, (n, s, k) in zip(ROWS, raws, brute_repeats(raws, least)))
+        expected = Counter((d, len(r), n, s, hashlib.sha256(k).hexdigest(), k.decode("utf-8", "ignore")) for (d, _, _), r, (n, s, k) in zip(ROWS, raws, brute_repeats(raws, least)))
         assert Counter(tuple(r) for r in rows_of(suffixdup.report(docs, least))) == expected
     assert not rows_of(suffixdup.report(nothing, 400))
 
@@ -278,12 +278,31 @@ def test_repeats_of_random_texts():
         least, letters = rng.choice([3, 9, 20]), rng.choice([b"ab", b"abcd", bytes(range(256))])
         pool = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4)]
         contexts = [b"".join(rng.choice(pool) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 10))]
-        on, starts = suffixdup.repeated(contexts, np.arange(len(contexts)) * 1000, np.zeros(len(contexts), bool), least)
-        seen = Counter(c[i : i + least] for c in contexts for i in range(len(c) - least + 1))
+        known = [(0, 0, len(contexts[0]) - least)] if rng.random() < 0.3 and len(contexts[0]) >= least else []
+        on, starts = suffixdup.repeated(contexts, np.arange(len(contexts)) * 1000, known, least)
+        seen = Counter(c[i : i + least] for c in [*contexts, *(contexts[0] for _ in known)] for i in range(len(c) - least + 1))
         for c, at in zip(contexts, starts):
             assert [bool(x) for x in on[at : at + len(c)]] == [i + least <= len(c) and seen[c[i : i + least]] > 1 for i in range(len(c))]
 
 
+def test_anchors_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 101, 30_000).astype(np.uint8).tobytes() + b"a" * 3000
+    whole = suffixdup.winnow(raw, 400, 160)
+    monkeypatch.setattr(suffixdup, "_SEGMENT", 1000)
+    parts = suffixdup.winnow(raw, 400, 160)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and (np.diff(whole[0]) <= 400 - 160 + 1).all()
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, once = noise(700), noise(300_000)
+    rows = [(1, once[:262_000] + passage + once[262_000:]), (2, noise(50_000) + passage), (3, noise(1000))]
+    got = {r["doc_id"]: r for r in suffixdup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [700, 700, 0] and got[1]["text"] == once
+
+
 def test_strip(docs):
     got = {r["doc_id"]: r for r in rows_of(suffixdup.strip(docs, 200)) if r["doc_id"]}
     passage = " ".join(ROWS[15][1].split()[40:50])
