@@ -15,8 +15,8 @@ same one. Finding them takes these steps:
    backward extension over their Burrows-Wheeler transform derives common prefixes by increasing value and stops at
    ``least``. Neighbours in suffix order without a value then share ``least`` bytes.
 4. A place has LIMIT contexts, about: the anchors of a larger one are dealt out by a hash. Anchors with more than CHUNK contexts
-   are dealt out over several chunks of their place; these also give hashes of all windows whose core occurs twice, which
-   are counted over all chunks.
+   are dealt out over several chunks of their place; these also give, for every RUN neighbouring windows whose core occurs
+   twice, the hash of the bytes that these windows share. Only windows whose shared bytes occur in several chunks are counted one by one.
 
 Texts that occur more than once are repeats as a whole if they have ``least`` bytes; they are counted like all others, but
 not searched further.
@@ -41,7 +41,7 @@ from .shared import claim, discard, materialize, mix
 
 #: Contexts of an anchor that meet in one place, of all anchors of a place, bytes of a text whose anchors share a place, and bytes
 #: whose suffixes are sorted together, about.
-CHUNK, LIMIT, REGION, BATCH_BYTES, CORES = 1024, 1 << 14, 4096, 1 << 20, 4
+CHUNK, LIMIT, REGION, BATCH_BYTES, CORES, RUN = 1024, 1 << 14, 4096, 1 << 20, 4, 16
 _SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,6 +194,7 @@ def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 MARKS = pa.list_(pa.struct([("pos", pa.int32()), ("mask", pa.int32()), ("twice", pa.bool_())]))
+WINDOWS = pa.list_(pa.struct([("at", pa.int32()), ("d", pa.binary()), ("sure", pa.bool_())]))
 
 
 def places(chosen: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
     several = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("edges")).where("all > 1")
     several = materialize(several.select("h", (F.col("edges") > 0).alias("open")), "several")  # joins of tables: Spark splits a hot h
     kinds = materialize(found.join(several, "h"), "anchors")
-    whole = kinds.groupBy("h", "c").agg((F.count("*") > 1).alias("whole"))
+    whole = materialize(kinds.groupBy("h", "c").agg((F.count("*") > 1).alias("whole")), "whole")
     known = materialize(kinds.join(whole, ["h", "c"]), "known")
     copied = materialize(rows.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid"), "copied")
     single = known.join(copied, "uid", "left_anti")
@@ -314,19 +315,19 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
             for r, at in zip(held, starts.tolist()):
                 mine = on[at : at + len(r[4])]
                 for m in r[5]:
-                    if m["mask"]:
-                        here = m["pos"] - r[3]
-                        for i in range(max(here + q - least, 0), min(here, len(r[4]) - least) + 1):
-                            if not m["mask"] >> min((here - i) // step, CORES - 1) & 1:
-                                continue
-                            p = xxhash.xxh3_128_digest(r[4][i : i + least])
-                            if not mine[i] or (r[0], r[1], p) not in seen:
-                                out.append((r[2], r[3] + i, r[3] + i + least, p, bool(mine[i])))
-                                if mine[i]:
-                                    seen.add((r[0], r[1], p))
-                out += [(r[2], r[3] + i, r[3] + j - 1 + least, None, True) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "low", "high", "probe", "sure"])
+                    here = m["pos"] - r[3]
+                    for top in range(here, max(here + q - least, 0) - 1, -RUN) if m["mask"] else ():
+                        some = [i for i in range(max(top - RUN + 1, here + q - least, 0), min(top, len(r[4]) - least) + 1) if m["mask"] >> min((here - i) // step, CORES - 1) & 1]
+                        if not some:
+                            continue
+                        key = r[0], r[1], xxhash.xxh3_64_intdigest(r[4][top : top - RUN + 1 + least]) - (1 << 63)
+                        if key in seen and mine[some].all():  # another context of the chunk speaks for it
+                            continue
+                        seen.add(key)
+                        out.append((r[2], 0, 0, key[2], r[1], [{"at": r[3] + i, "d": xxhash.xxh3_128_digest(r[4][i : i + least]), "sure": bool(mine[i])} for i in some]))
+                out += [(r[2], r[3] + i, r[3] + j - 1 + least, None, None, None) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), WINDOWS)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["uid", "low", "high", "probe", "chunk", "windows"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("spot", "chunk", "uid", "low", "stretch", "marks"))):
@@ -343,10 +344,13 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
 
     pieces = pieces.mapInArrow(cut_out, "spot long, chunk int, uid binary, low int, stretch binary, marks array<struct<pos int, mask int, twice boolean>>")
     met = pieces.repartition(shuffles, "spot", "chunk").sortWithinPartitions("spot", "chunk", "uid", "low")
-    met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, probe binary, sure boolean"), "met")
-    probes = met.where("probe is not null")
-    again = probes.groupBy("probe").agg(F.min(F.struct("uid", "low")).alias("x"), F.max(F.struct("uid", "low")).alias("y"), F.max("sure").alias("sure")).where("sure or x <> y").select("probe")
-    spans = met.where("probe is null").select("uid", "low", "high").unionByName(probes.join(again, "probe", "left_semi").select("uid", "low", "high"))
+    met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, probe long, chunk int, windows array<struct<at int, d binary, sure boolean>>"), "met")
+    probes = met.where("probe is not null").select("uid", "probe", "chunk", "windows")
+    several = probes.groupBy("probe").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y")).where("x < y").select("probe")
+    windows = probes.join(several, "probe", "left_semi").select("uid", F.inline("windows"))
+    again = windows.groupBy("d").agg(F.min(F.struct("uid", "at")).alias("x"), F.max(F.struct("uid", "at")).alias("y"), F.max("sure").alias("sure")).where("sure or x <> y").select("d")
+    late = windows.where("not sure").join(again, "d", "left_semi").select("uid", F.col("at").alias("low"), (F.col("at") + least).alias("high"))
+    spans = met.where("probe is null").select("uid", "low", "high").unionByName(late)
     spans = spans.groupBy("uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     whole = work.withColumn("whole", F.transform(F.filter("wanted", lambda w: w["kind"] == 0), lambda w: w["pos"])).select("uid", "text", "whole").join(copied, "uid", "left_anti")
 
