@@ -233,21 +233,25 @@ def test_near_vectors(spark):
     assert not rows_of(embdup.near_vectors(df.limit(0)))
 
 
-def test_cutoff_of_vectors(spark):
+def test_visits_of_vectors(spark, monkeypatch):
+    """Few cells are visited, and most links at the threshold itself are found, in random directions and along few components."""
+    monkeypatch.setattr(embdup, "OCCUPANCY", 8)
     rng = np.random.default_rng(8)
-    apart = rng.normal(size=(600, 64))
-    near = apart[:200] + 0.02 * rng.normal(size=(200, 64))
-
-    def reach(*parts) -> float:
-        rows = [(i, v.tolist(), v.size) for i, v in enumerate(np.concatenate(parts))]
-        return embdup._grids(spark.createDataFrame(rows, "node long, v array<double>, dim int"), 0.9)[parts[0].shape[1]].reach
-
-    assert reach(apart) == pytest.approx(0.2)
-    assert reach(apart, near) == embdup.FLOOR
-    few = rng.normal(size=(1500, 8))
-    hot, far = few[0] + 0.001 * rng.normal(size=(500, 8)), few[500:1000] + 0.15 * rng.normal(size=(500, 8))
-    assert 0.02 < reach(few, hot, far) <= 0.2
-
+    base = embdup.unit(rng.normal(size=(3000, 64)))
+    bent = base[500:800].copy()
+    bent[:, :2] += 0.22 * rng.choice([-1, 1], (300, 2))
+    hot = base[0] + 0.002 * rng.normal(size=(700, 64))
+    x = embdup.unit(np.concatenate([base, embdup.neighbours(base[:500], 0.9501), bent, hot]))
+    df = spark.createDataFrame([(i, v.tolist(), 64) for i, v in enumerate(x)], "node long, v array<double>, dim int")
+    grid = embdup._grids(df, 0.95)[64]
+    _, _, k1, k2 = grid.keys(x)
+    visited = np.mean([sum(len(s) for _, s in grid.visits(a, b)) for a, b in zip(k1[:3000], k2[:3000])])
+    assert grid.k >= 20 and visited < 0.05 * grid.k**2
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embdup.near_vectors(df.selectExpr("node AS vec_id", "v AS embedding"), 0.95).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= true).all()
+    assert all(found[part].sum() >= 0.93 * true[part].sum() > 0 for part in (slice(3000, 3500), slice(3500, 3800), slice(3800, None)))
 
 
 def brute_repeats(raws: list[bytes], least: int) -> list[tuple[int, int, bytes]]:
