@@ -1,6 +1,7 @@
 """Document fingerprints of closed syncmers, with DataFrame functions only.
 
-A text is read as tokens: runs of bytes other than white space, cut after 16 characters. A window of K tokens is an anchor
+A text is read as tokens: runs of characters other than white space, and in runs of more than 16 characters (text without
+spaces) each character, so that where a token ends depends on the text around it alone. A window of K tokens is an anchor
 if the least hash among its runs of S tokens is that of its first or of its last run: this depends on the window alone,
 so that an edit moves no anchor that it doesn't touch. The fingerprint is the anchors' 32-bit hashes in order of position,
 in hexadecimal; texts of 1 to K-1 tokens have one anchor, all of them, and texts without tokens the empty fingerprint.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 #: Tokens in a window and in its inner runs.
 K, S = 10, 2
 #: Bytes of text in a bucket of consecutive documents, about, and buckets at most.
-BUCKET_BYTES, BUCKETS = 4 << 20, 1_000_000
-CUTS = 32
+BUCKET_BYTES, BUCKETS = 1 << 20, 1 << 16
+CUTS, NULLS = 32, 256
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +36,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def anchors(text: Column) -> Column:
     """Hashes of the anchors of text, in order of position: array<long>, 32 bits each."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,16}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     t = K - S + 1
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -70,7 +72,6 @@ def with_next(docs: DataFrame, nexts: dict[str, str], add: Callable[[DataFrame],
     Documents are dealt into buckets of consecutive doc_ids: cut points at quantiles, evenly spaced in between. Each bucket
     also gets a copy of the first document of the next one, so that the text is shuffled once and no window spans more.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at = [i / CUTS for i in range(CUTS + 1)]
     seen = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.percentile_approx("doc_id", at, 10_000).alias("cuts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
@@ -79,16 +80,18 @@ def with_next(docs: DataFrame, nexts: dict[str, str], add: Callable[[DataFrame],
     step = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id")))  # 1 to len(cuts)
     low, high = (F.element_at(F.array(*map(F.lit, cuts)), k) for k in (step, F.least(step + 1, F.lit(len(cuts)))))
     inner = F.floor((F.col("doc_id") - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double") * each)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(step * each + F.least(inner, F.lit(each - 1))).cast("long")
+    hashed = F.xxhash64("text")
+    null_bucket = -1 - F.shiftright(hashed.bitwiseXOR(F.lit(-(1 << 63))), 64 - NULLS.bit_length() + 1).bitwiseAND(F.lit(NULLS - 1))  # hashes ascend as buckets descend
+    bucket = F.when(F.col("doc_id").isNull(), null_bucket).otherwise(step * each + F.least(inner, F.lit(each - 1))).cast("long")
     rows = rows.withColumn("bucket", bucket)
-    firsts = rows.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))  # a row for each bucket
+    firsts = rows.groupBy("bucket").agg(F.max("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), hashed)).alias("first_hash"))  # a row for each bucket
     order = Window.orderBy(F.col("bucket").desc())
     above = F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy()))
-    guests = F.broadcast(firsts.select("first_id", above.alias("host")))  # BUCKETS rows of two numbers at most
-    copies = rows.join(guests, rows["doc_id"].eqNullSafe(guests["first_id"])).select("doc_id", "text", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
+    guests = F.broadcast(firsts.select("first_id", "first_hash", above.alias("host")))  # 2 BUCKETS + NULLS rows of three numbers at most
+    first = rows["doc_id"].eqNullSafe(guests["first_id"]) & F.when(rows["doc_id"].isNull(), hashed).eqNullSafe(guests["first_hash"])
+    copies = rows.join(guests, first).select("doc_id", "text", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
     dealt = rows.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(copies)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = add(dealt.repartition(n, "bucket"))
+    dealt = add(dealt.repartition("bucket"))
     line = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return dealt.withColumns({new: F.lead(old).over(line) for new, old in nexts.items()}).where("guest = 0").drop("bucket", "guest")
 
