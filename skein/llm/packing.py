@@ -141,5 +141,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024) -
             out = [b.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*out, pa.array(firsts[k] + past // each[k]), pa.array(offsets[k] + past % each[k] * length)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(base, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("at")).alias("rank"))
+    # base grows with the table's parts: no broadcast
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("at")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
