@@ -41,9 +41,15 @@ def _where(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file:/")) else fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", shards: int | None = None) -> dict:
-    """Encodes doc_id and text of docs to a store at path and returns its manifest."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", shards: int | None = None, shard_bytes: int = 256 << 20) -> dict:
+    """Encodes doc_id and text of docs to a store at path and returns its manifest.
+
+    shards: how many; by default one for each ``shard_bytes`` of docs as Spark estimates them, and as many as Spark has shuffle partitions at least.
+    """
     spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if shards is None and (many := -(-size // shard_bytes)) > int(spark.conf.get("spark.sql.shuffle.partitions")) and size < 1 << 60:  # beyond: no estimate
+        shards = many
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)
@@ -79,12 +85,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
         out, here = _where(path)
         for b in batches:
             for k, start in zip(b.column("shard").to_pylist(), b.column("base").to_pylist()):
-                with out.open_input_file(f"{here}/local-{k:06d}.bin") as f:
-                    rows = np.frombuffer(f.read(), "<i8").reshape(-1, 3).copy()
-                rows[:, 1:] += start
                 name = f"{here}/docs-{k:06d}.bin"
-                with out.open_output_stream(f"{name}.{(attempt := uuid.uuid4().hex)}") as f:
-                    f.write(rows.tobytes())
+                with out.open_input_file(f"{here}/local-{k:06d}.bin") as f, out.open_output_stream(f"{name}.{(attempt := uuid.uuid4().hex)}") as g:
+                    while part := f.read(24 << 16):
+                        rows = np.frombuffer(part, "<i8").reshape(-1, 3).copy()
+                        rows[:, 1:] += start
+                        g.write(rows.tobytes())
                 out.move(f"{name}.{attempt}", name)
             yield b.select(["shard"])
 
@@ -118,10 +124,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist()):
-                tokens, docs = Shard.open(path, k, dtype)
-                for at in range(0, len(docs), 4096):
-                    rows = np.asarray(docs[at : at + 4096])
-                    crc = [zlib.crc32(np.asarray(tokens[i - base : j - base]).astype("<u4")) for _, i, j in rows.tolist()]
+                for tokens, rows in Shard.blocks(path, k, dtype, base):
+                    crc = [zlib.crc32(np.asarray(tokens[i - rows[0, 1] : j - rows[0, 1]]).astype("<u4")) for _, i, j in rows.tolist()]
                     ids = pa.array(rows[:, 0], mask=rows[:, 0] == NO_ID)
                     yield pa.RecordBatch.from_arrays([ids, pa.array(rows[:, 1]), pa.array(rows[:, 2] - rows[:, 1]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -141,3 +145,19 @@ class Shard:
             return np.memmap(names[0], dtype, "r"), np.memmap(names[1], "<i8", "r").reshape(-1, 3)
         tokens, docs = (store.open_input_file(n).read() for n in names)
         return np.frombuffer(tokens, dtype), np.frombuffer(docs, "<i8").reshape(-1, 3)
+
+    @staticmethod
+    def blocks(path: str, k: int, dtype: np.dtype, base: int, size: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tokens and rows of ``size`` documents at a time: views of the memory maps, or ranges read from a remote store."""
+        store, root = _where(path)
+        if isinstance(store, fs.LocalFileSystem):
+            tokens, docs = Shard.open(path, k, dtype)
+            for at in range(0, len(docs), size):
+                rows = np.asarray(docs[at : at + size])
+                yield tokens[rows[0, 1] - base : rows[-1, 2] - base], rows
+            return
+        with store.open_input_file(f"{root}/tokens-{k:06d}.bin") as t, store.open_input_file(f"{root}/docs-{k:06d}.bin") as d:
+            while part := d.read(24 * size):
+                rows = np.frombuffer(part, "<i8").reshape(-1, 3)
+                first, last = (int(x - base) * dtype.itemsize for x in (rows[0, 1], rows[-1, 2]))
+                yield np.frombuffer(t.read_at(last - first, first), dtype), rows
