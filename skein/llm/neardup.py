@@ -10,7 +10,7 @@ start. Classes that share a band are candidates. Links are confirmed on the full
    out: such a class is compared with all of that component.
 
 A pair that shares a band is thus left out only if its two classes are in one component already, or its signatures differ
-by 4 standard errors from what a link would give. Steps 2 and 3 work in blocks of bounded size, and step 3 makes a row
+by 6 standard errors from what a link would give (a chance of one in a billion for a link). Steps 2 and 3 work in blocks of bounded size, and step 3 makes a row
 for each class and component, not for each pair; no bucket is ever gathered.
 
 Cases: null text and texts without words have the empty set and link with nothing; a null doc_id takes part, but names no
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, claim, components, discard, materialize, shingle_set
+from .shared import WordHashes, claim, components, discard, materialize, own_exchange, shingle_set
 
 #: Hash functions, members of a block, and partners that step 2 tries.
 HASHES, BLOCK, TRIES = 180, 256, 3
@@ -83,7 +83,7 @@ def sign(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    pairs = materialize(pairs.join(chunks, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).drop("chunks"), "pairs")
+    pairs = materialize(pairs.join(own_exchange(chunks, "b"), "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks"))).drop("chunks"), "pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), "text"), "a").select("b", "chunk", F.lit(1).alias("role"), F.col("a").alias("id"), "text")
     right = pairs.select("b", "chunk").distinct().join(texts.select(F.col("node").alias("b"), "text"), "b").select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("id"), "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,10 +108,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def least_agreement(percent: int) -> int:
-    """Equal bytes of two signatures that a link at the threshold falls short of by 4 standard errors only."""
+    """Equal bytes of two signatures that a link at the threshold falls short of by 6 standard errors only."""
     s = percent / 100
     p = s + (1 - s) / 256
-    return math.floor(HASHES * (p - 4 * math.sqrt(p * (1 - p) / HASHES)))
+    return math.floor(HASHES * (p - 6 * math.sqrt(p * (1 - p) / HASHES)))
 
 
 def settle(open_: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -119,6 +119,7 @@ def settle(open_: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent
     nodes = texts.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     sizes = open_.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
     sizes = sizes.join(nodes.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "c")
+    sizes = materialize(sizes, "sizes")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = open_.withColumnRenamed("a", "node").join(sizes, "c").withColumn("x", own("askers")).select("c", "x", every("blocks").alias("y"), F.lit(0).alias("role"), "node").join(texts, "node")
@@ -168,7 +169,7 @@ def unsettled(members: DataFrame, classes: DataFrame, parts: DataFrame, percent:
     rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all")).where("all > most")
-    rows = rows.join(mixed, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    rows = rows.join(own_exchange(mixed, "bucket"), "bucket").withColumn("minor", F.col("component") != F.col("major"))
     minors, majors = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all") - F.col("most"), F.col("most")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), minors).otherwise(majors)).cast("int"))
     with_minors = F.transform(F.sequence(F.lit(0), minors - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
@@ -241,17 +242,19 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    members = materialize(banded.join(buckets, "bucket"), "members")
+    members = materialize(banded.join(own_exchange(buckets, "bucket"), "bucket"), "members")
     wanted = members.select("node").distinct().join(classes, "node").select("node", "sig", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
     texts = materialize(wanted.join(rows, F.col("d").eqNullSafe(rows["doc_id"]) & (F.col("h") == rows["text_hash"])).select("node", "text", "sig"), "texts")
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("p"), F.max("hub").alias("q"))
     stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
-    parts = components(materialize(confirm(stars, texts, k, percent), "links"))
+    links = materialize(confirm(stars, texts, k, percent), "links")
+    parts = components(links)
     members = members.drop("hub")
     for tries in (TRIES, None):
         pairs = materialize(unsettled(members, classes, parts, percent, tries), "pairs")
         more = confirm(pairs, texts, k, percent) if tries else settle(pairs.withColumnRenamed("b", "c"), parts, texts, k, percent)
         more = materialize(more, "links")
+        discard(pairs)
         if more.isEmpty():
             continue
         # From here on components are joined, not classes again.
@@ -261,9 +264,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
         alone = joined.join(parts.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
         parts = parts.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")).unionByName(alone)
         parts = materialize(parts, "parts")
-    discard(texts)
     named = classes.join(parts, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
+    discard(texts, members, classes, links)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.join(names, "component").select("digest", "component_id")
     out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -273,9 +276,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one document of each group: the one with the least doc_id; equal rows are one."""
     keep = near_groups(docs, k, percent).where("kept").select("doc_id", "text_hash").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    out = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (rows["_hash"] == keep["text_hash"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(keep, rows["id"].eqNullSafe(keep["doc_id"]) & (rows["hash"] == keep["text_hash"]), "left_semi")
+    return out.dropDuplicates(["id", "hash"]).select("row.*")
 
 
 ORACLE = r"""

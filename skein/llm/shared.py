@@ -18,14 +18,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Unset, it is a temporary folder in local mode (tests) and a
-    folder in the warehouse on a cluster; never a folder of one machine on a cluster.
+    It is the one named by ``spark.checkpoint.dir``. Unset, it is a temporary folder in local mode (tests); a cluster
+    has to name one.
     """
     conf = spark.sparkContext.getConf()
     if named := conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if not conf.get("spark.master", "local").startswith("local") or "cluster" in conf.get("spark.master", "local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skein"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='skein-')}"
@@ -44,9 +44,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: this cuts the lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it again: this cuts the lineage and survives lost executors.
+
+    The table goes when it is discarded, at the latest when the application ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    where, store = _hadoop(df.sparkSession, path)
+    store.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
@@ -56,9 +61,19 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_skein_path", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where, store = _hadoop(df.sparkSession, path)
+            store.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """df with its long keys computed anew, so that a join on them shuffles df itself: Spark splits a hot key's rows only
+    where both sides of a join come from shuffles of their own, not from an aggregate on that key."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
 def asciilower(col: Column) -> Column:
@@ -142,9 +157,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = tidy(both.where("v > u").join(own_exchange(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
+        small = large.join(own_exchange(low, "u"), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
         new = materialize(tidy(small), "edges")
         now = mark(new)
         discard(e)
