@@ -155,21 +155,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def score(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs, and score."""
-    kept = [docs.schema[c] for c in keep]
+    """row (the columns ``keep`` of docs) and score: the row is one struct, so that no column's name clashes."""
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         for b in batches:
-            x = np.array([statistics(t) for t in b.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate([trees.scores(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.empty(0)]))], names=[*keep, "score"])
+            x = np.array([statistics(t) for t in b.column("body").to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate([trees.scores(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.empty(0)]))], names=["row", "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, StructType([*kept, StructField("score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     out = score(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -71,6 +71,25 @@ def test_sharding(docs, nothing):
     assert not rows_of(sharding.assign(nothing, [1.0] * 8))
 
 
+def test_shards_by_brute_force(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    weights = [1.0, 2.5, 0.5, 1.0]
+
+    def score(doc: int, k: int) -> float:
+        h = xxhash.xxh64_intdigest(b"rendezvous", 42)
+        for part in (struct.pack("<q", doc), struct.pack("<i", k)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return weights[k] / -math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    ids = [0, 1, -5, 2**62, *range(100, 400)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), weights).collect()}
+    assert got == {i: max(range(4), key=lambda k: score(i, k)) for i in ids}
+
+
 def test_shares_follow_weights(spark):
     n = 40_000
     got = Counter(r[0] for r in spark.range(n).select(sharding.shard_of(F.col("id"), [1.0, 2.0, 5.0])).collect())
@@ -314,10 +333,6 @@ def test_strip(docs):
     assert got[30].asDict().keys() == set(docs.columns)
 
 
-def py_anchor_count(text: str) -> int:
-    return len(__import__("re").findall("[^\x20\x09-\x0d]{1,16}", text))
-
-
 def test_fingerprints(docs, nothing):
     got = rows_of(fingerprints.compare(docs))
     assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((d, len(t or "")) for d, t, _ in ROWS)
@@ -352,6 +367,30 @@ def test_anchors_are_closed_syncmers(spark):
     assert set(inner) <= found[0] & found[1] and 4 <= len(inner) <= 25 and len(found[2]) == 1
 
 
+def test_text_without_spaces(spark):
+    """One inserted character moves few anchors; likeness is that of the sets of anchors."""
+    rng = random.Random(6)
+    text = "".join(rng.choices("日本語のテキスト文章東京", k=3000))
+    rows = [(3, text), (2, text[:1000] + "x" + text[1000:]), (1, text[::-1])]
+    got = {r["doc_id"]: r for r in fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {r["fingerprint"][k : k + 8] for k in range(0, len(r["fingerprint"]), 8)} for i, r in got.items()}
+    like = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    assert abs(got[3]["near_next"] - like(sets[3], sets[2])) < 1e-9 and abs(got[2]["near_next"] - like(sets[2], sets[1])) < 1e-9
+    assert got[3]["near_next"] > 0.95 and got[2]["near_next"] < 0.2
+
+
+def test_next_of_null_ids(spark):
+    """Documents without doc_id follow in order of a hash of their texts, in many buckets; the last one's next is the first."""
+    rows = [(None, f"text number {i} " * 4) for i in range(40)] + [(7, "seven"), (9, "nine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r["text"] for r in df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).collect()]
+    edited = Counter()
+    for a, b in zip(order, order[1:] + order[:1]):
+        half = len(a) // 2
+        edited[hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()] += 1
+    assert Counter(r["edited_sha256"] for r in fingerprints.compare(df).collect()) == edited
+
+
 def test_short_texts_have_anchors(spark):
     rng = random.Random(5)
     k = fingerprints.K
@@ -370,6 +409,29 @@ def test_short_texts_have_anchors(spark):
     assert all(r["fingerprint"] and r["edited_fingerprint"] and r["near_next"] < 1 for r in fingerprints.compare(table).collect())
 
 
+def test_flat_trees_are_the_trees():
+    """The first split is the best one of all by brute force; the flattened walk gives what a walk from node to node gives."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (300, 5)).astype(float)
+    y = ((x[:, 2] > 5) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = quality.fit(x, y)
+
+    def walk(row: np.ndarray) -> float:
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] >= 0:
+                node = trees.left[node] + (row[trees.feature[node]] > trees.threshold[node])
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.scores(x), [walk(r) for r in x]) and ((trees.scores(x) >= 0.5) == y).mean() > 0.85
+    p = np.full(300, 1 / (1 + np.exp(-trees.base)))
+    g, h = p - y, p * (1 - p)
+    gain = lambda on: g[on].sum() ** 2 / (h[on].sum() + quality.RIDGE)
+    best = max((gain(x[:, j] <= t) + gain(x[:, j] > t), -j, -t) for j in range(5) for t in np.unique(x[:, j]) if min((x[:, j] <= t).sum(), (x[:, j] > t).sum()) >= quality.LEAST)
+    assert (trees.feature[trees.roots[0]], trees.threshold[trees.roots[0]]) == (-best[1], -best[2])
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(6)
     rows = [(i, " ".join(w.upper() + "!!" if i % 3 == 0 else w for w in words(rng, 50))) for i in range(600)]
@@ -420,6 +482,34 @@ def test_mixing(spark, docs, nothing):
     assert sum(size(r["text"]) for r in real) == sum(taken.values()) and real[0].asDict().keys() == set(docs.columns)
 
 
+def test_tree_draws_hypergeometric_numbers(spark):
+    """Inversion against exact fractions; quotas add up at each node whatever the numbers' size."""
+    from fractions import Fraction
+    from math import comb
+
+    draw = lambda m, k, n, df: [r[0] for r in df.select(mixing._hypergeometric(*(F.lit(x).cast("long") for x in (m, k, n)), F.col("u"))).collect()]
+    steps = spark.range(400).selectExpr("(id + 0.5D) / 400 AS u").coalesce(1).orderBy("u")
+    for m, k, n in ((30, 12, 15), (9, 9, 4), (40, 3, 20), (7, 0, 3), (50, 25, 50)):
+        lowest = max(0, n + k - m)
+        share = [Fraction(comb(k, x) * comb(m - k, n - x), comb(m, n)) for x in range(lowest, min(k, n) + 1)]
+        sums = np.cumsum([float(p) for p in share])
+        assert draw(m, k, n, steps) == [lowest + int((sums <= (i + 0.5) / 400 * sums[-1]).sum()) for i in range(400)]
+    large = np.array(draw(10**9, 3 * 10**8, 5 * 10**8, spark.createDataFrame([(0.5,), (0.84134,), (0.00135,)], "u double").coalesce(1)))
+    assert np.abs((large - 1.5e8) / np.sqrt(1.5e8 * 0.7 * 0.5) - [0, 1, -3]).max() < 0.01
+    quotas = {"a": 10**9 + 7, "b": 3, "c": 0, "d": 12_345}
+    ends = {r["skey"]: r["ends"] for r in mixing.split(spark.createDataFrame(list(quotas.items()), "skey string, quota long"), 8).collect()}
+    leaves = np.array([np.diff([0, *ends[s]]) for s in quotas])
+    assert (leaves >= 0).all() and [e[-1] for e in ends.values()] and all(ends[s][-1] == q for s, q in quotas.items()) and np.ptp(leaves.sum(0)) <= 3
+
+
+def test_cut_copies_keep_spaces(spark):
+    rows = [(i, f" {i} b\n\nc\td  e f ", "ab"[i % 2], 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    whole = {r[0]: r[1] for r in rows}
+    real = rows_of(mixing.realize(docs, share=1.13, part_bytes=64))
+    assert all(whole[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in real) and any(r["text"] not in whole.values() for r in real)
+
+
 URLS = [None, "", "nourl", "http://example.net", "http://example.net/", "https://A.EXAMPLE.NET/en/x?q#f", "http://example.net/enx", "http://u@example.net:80/en/", "http://example.com/de/1", "http://xexample.com/de/1", "http://x.org/fr/", "http://org/fr/a", "http://x.org/FR/", "a://b://c.net/d", "http://x.net?/en/", "http://é.net/é", "http://x.net/a\nb"]
 
 
