@@ -21,7 +21,7 @@ REPEAT = 200
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more; it learns from labelled documents of docs that aren't held out."""
     trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, trees, docs.columns).where("score >= 0.5").select(*docs.columns)
+    return quality.score(docs, trees, docs.columns).where("score >= 0.5").select("row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
