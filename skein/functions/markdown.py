@@ -267,6 +267,16 @@ def front_matter_column(content: Column) -> Column:
     return parsed(content)
 
 
+def heading_column(line: Column) -> Column:
+    """level and heading of a line; null if it is none."""
+
+    @F.pandas_udf("level long, heading string")
+    def found(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_heading(x or "") or (None, None) for x in lines], columns=["level", "heading"]).astype({"level": "Int64"})
+
+    return found(line)
+
+
 def chunks_column(body: Column) -> Column:
     @F.pandas_udf(CHUNKS)
     def cut(texts: pd.Series) -> pd.Series:

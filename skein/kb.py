@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import settings as S
@@ -29,9 +30,13 @@ TABLES = {
     "chunks": "id long, doc_id long, chunk_index int, heading_path string, text string, embedding array<float>",
     "links": "src_doc_id long, dst_slug string, dst_doc_id long, edge_type string, anchor_text string",
     "postings": "word string, chunk_id long, attr int, pos long",
+    "words": "word string, n long",
 }
 
 
+SCHEMA_VERSION = 2
+
+
 class KnowledgeError(Exception):
     """Base of the errors below."""
 
@@ -44,6 +49,10 @@ class EmbedderMismatch(KnowledgeError):
     pass
 
 
+class SchemaMismatch(KnowledgeError):
+    pass
+
+
 class DocNotFound(KnowledgeError):
     pass
 
@@ -76,7 +85,7 @@ class KnowledgeBase:
             os.makedirs(home, exist_ok=True)
             for name, schema in TABLES.items():
                 spark.createDataFrame([], schema).write.parquet(f"{home}/v=0/{name}")
-            cls._put_meta(home, {"schema_version": 2, "embedder_id": embedder.id, "dim": embedder.dim, "snapshot": 0, "last_synced_at": None})
+            cls._put_meta(home, {"schema_version": SCHEMA_VERSION, "embedder_id": embedder.id, "dim": embedder.dim, "snapshot": 0, "last_synced_at": None})
         ignore = os.path.join(root, ".gitignore")
         lines = open(ignore, encoding="utf-8").read().splitlines() if os.path.exists(ignore) else []
         if ".skein/" not in lines:
@@ -92,6 +101,8 @@ class KnowledgeBase:
             raise NotInitialized(f"no knowledge base at {root}")
         with open(path, encoding="utf-8") as f:
             meta = json.load(f)
+        if meta["schema_version"] != SCHEMA_VERSION:
+            raise SchemaMismatch(f"tables of version {meta['schema_version']}, this engine reads {SCHEMA_VERSION}")
         if meta["embedder_id"] != embedder.id:
             raise EmbedderMismatch(f"index made by {meta['embedder_id']}, opened with {embedder.id}")
         return cls(spark, root, meta, embedder)
@@ -108,7 +119,7 @@ class KnowledgeBase:
 
     @property
     def corpus(self) -> Corpus:
-        return Corpus(*(self.table(n) for n in ("docs", "aliases", "chunks", "links", "postings")))
+        return Corpus(*(self.table(n) for n in ("docs", "aliases", "chunks", "links", "postings", "words")))
 
     # -- ingest
 
@@ -121,8 +132,9 @@ class KnowledgeBase:
         """Writes a note to inbox/ and takes it in; gives its slug."""
         now = now or datetime.now(UTC)
         given = F.lit(title) if title is not None else T.derive_title(F.lit(text))
-        row = self.spark.range(1).select(T.sanitize_title(given).alias("t")).select("t", T.slugify("t").alias("s")).first()
-        base = slug = f"inbox/{now:%Y-%m-%d-%H%M%S}-{row['s']}"
+        named = sync.capture_name(given, F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
+        row = self.spark.range(1).select(named[0].alias("t"), named[1].alias("s")).first()
+        base = slug = row["s"]
         n = 1
         while os.path.exists(os.path.join(self.root, f"{slug}.md")) and n < 100:
             n += 1
@@ -163,13 +175,14 @@ class KnowledgeBase:
         made = made.withColumn("embedding", E.embed_column(F.col("text"), self.embedder))
         top = old.chunks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         slugs = fresh.select(F.col("id").alias("doc_id"), "slug")
-        made = made.join(slugs, "doc_id").withColumn("k", F.row_number().over(Window.orderBy("slug", "chunk_index"))).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("k"))
+        made = C.numbered(made.join(slugs, "doc_id"), "slug", "k", "chunk_index").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("k"))
         columns = [f.strip().split()[0] for f in TABLES["chunks"].split(", ")]
         made = stage(made.select(*columns), "_made")
         chunks = stage(kept.select(*columns).unionByName(made), "chunks")
         posts = old.postings.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("word", "chunk_id", "attr", "pos")
         posts = posts.unionByName(C.postings(docs, made))
-        stage(posts.repartition("word").sortWithinPartitions("word", "chunk_id"), "postings")
+        posts = stage(posts.repartition("word").sortWithinPartitions("word", "chunk_id"), "postings")
+        stage(C.word_index(Corpus(docs, aliases, chunks, old.links, posts)).repartition("word").sortWithinPartitions("word"), "words")
         links = old.links.join(drop.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id", "left_anti").unionByName(sync.links(fresh))
         moves = sync.renames(gone, good.where("state = 'added'").select("slug", "content_hash"))
         moves = stage(moves, "_moves")
@@ -187,6 +200,12 @@ class KnowledgeBase:
         self.meta = self.meta | {"snapshot": nxt} | ({"last_synced_at": stamp} if whole else {})
         self._put_meta(home, self.meta)
         self._cache.clear()
+        for name in os.listdir(home):  # the snapshot before this one stays for its readers
+            if name.startswith("v=") and int(name[2:]) < nxt - 1:
+                shutil.rmtree(f"{home}/{name}", ignore_errors=True)
+        for name in os.listdir(f"{home}/v={nxt}"):
+            if name.startswith("_"):
+                shutil.rmtree(f"{home}/v={nxt}/{name}", ignore_errors=True)
         return report
 
     # -- questions; results are kept by arguments until the snapshot changes
@@ -213,6 +232,11 @@ class KnowledgeBase:
     def intent(self, query: str) -> str:
         return search.query_intent(self.corpus, query)
 
+    def refresh(self) -> None:
+        """Reads which snapshot is the current one: another process may have made it."""
+        with open(os.path.join(self.root, ".skein", "meta.json"), encoding="utf-8") as f:
+            self.meta = json.load(f)
+
     def doc(self, name: str) -> dict:
         """The document of a slug, title or alias."""
         ids = C.resolve_docs(self.corpus, self.spark.range(1).select(F.lit(name).alias("name")))
@@ -226,11 +250,42 @@ class KnowledgeBase:
         seed = self.spark.range(1).select(F.lit(found["id"]).alias("id"))
         return search.traverse(self.corpus, seed, hops, edge_type)
 
+    def content(self, doc: dict) -> str:
+        """A document's file, or its body where the file is gone."""
+        return vault.read_file(os.path.join(self.root, f"{doc['slug']}.md"))[0] or doc["body"]
+
+    # -- answers as the command line and the server give them, kept like all results
+
+    def _answer(self, key: tuple, make) -> dict:
+        cached = (self.meta["snapshot"], *key) in self._cache
+        return self._kept(key, make) | ({"cached": True} if cached else {})
+
+    def answer(self, kind: str, query: str, mode: str, limit: int | None = None) -> dict:
+        """kind: search or think."""
+        as_of = datetime.now(UTC).strftime("%Y-%m-%d %H:00:00")
+        listed = lambda df, *drop: [r.asDict(recursive=True) for r in df.drop(*drop).collect()]  # noqa: E731  a page of rows
+
+        def make() -> dict:
+            head = {"query": query, "intent": self.intent(query), "mode": mode}
+            if kind == "search":
+                return head | {"hits": listed(self.search(query, mode, limit, as_of))}
+            found, gaps = self.think(query, mode, as_of)
+            return head | {"facts": listed(found, "rank"), "gaps": listed(gaps)}
+
+        return self._answer((kind, "answer", query, mode, limit, as_of), make)
+
+    def answer_graph(self, start: str, edge: str | None, hops: int, most: int) -> dict:
+        """The first ``most`` edges."""
+        make = lambda: {"start": start, "edges": [r.asDict() for r in self.graph(start, edge, hops).orderBy("hop", "src_slug", "dst_slug").limit(most).collect()]}
+        return self._answer(("graph", start, edge, hops), make)
+
     def validate(self, path: str | None = None, since: str | None = None, everything: bool = False) -> DataFrame:
         """(path, message); message is null for valid files. By default what changed since the last sync."""
+        if path is not None:  # any file, in the folder or not
+            full = path if os.path.isabs(path) or os.path.exists(path) else os.path.join(self.root, path)
+            file = self.spark.createDataFrame([("./file", path, *vault.read_file(full))], vault.FILES)
+            return sync.validate(file).withColumn("path", F.lit(path))
         files = vault.scan(self.spark, self.root)
-        if path is not None:
-            return sync.validate(files.where(F.col("path") == os.path.relpath(os.path.join(self.root, path), self.root)).withColumn("slug", F.concat(F.lit("./"), "slug"))).withColumn("path", F.lit(path))
         return sync.validate(files, None if everything else since or self.meta["last_synced_at"])
 
     def stats(self) -> dict:

@@ -2,7 +2,7 @@
 
 docs(id, slug, title, doc_type, source_dir, tags, content_hash, created_at, updated_at, synced_at, deleted_at, body)
 aliases(doc_id, alias, alias_key)   chunks(id, doc_id, chunk_index, heading_path, text, embedding)
-links(src_doc_id, dst_slug, dst_doc_id, edge_type, anchor_text)   postings(word, chunk_id, attr, pos)
+links(src_doc_id, dst_slug, dst_doc_id, edge_type, anchor_text)   postings(word, chunk_id, attr, pos)   words(word, n)
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ class Corpus:
     chunks: DataFrame
     links: DataFrame
     postings: DataFrame
+    #: Vocabulary of live chunks, and how many searchable chunks hold each word; made from the other tables where it isn't stored.
+    words: DataFrame | None = None
 
     @property
     def live(self) -> DataFrame:
@@ -68,11 +70,28 @@ def resolve_docs(c: Corpus, names: DataFrame) -> DataFrame:
     return union.groupBy("name").agg(F.min(F.struct("step", "id")).alias("first")).select("name", F.col("first.id").alias("id"))
 
 
+def like_keys(targets: DataFrame) -> DataFrame:
+    """targets (base, with _ or %) with like_key and pattern: equal keys are necessary for a tail to be like base."""
+    first, last = F.regexp_extract("base", "^[^_%]{3}", 0), F.regexp_extract("base", "[^_%]{3}$", 0)
+    size = F.when(F.contains("base", F.lit("%")), F.lit("")).otherwise(F.length("base").cast("string"))
+    return targets.withColumn("like_key", F.concat_ws("/", size, F.lower(first), F.lower(last))).withColumn("pattern", F.replace("base", F.lit("\\"), F.lit("\\\\")))
+
+
+def tails(docs: DataFrame) -> DataFrame:
+    """(id, tail, like_key): what of docs' slugs stands after each slash, with each key that a basename like it could have."""
+    rows = docs.withColumn("at", F.explode(F.filter(F.sequence(F.lit(1), F.length("slug")), lambda i: F.substring(F.col("slug"), i, F.lit(1)) == "/")))
+    rows = rows.select("id", F.lower(F.substring(F.col("slug"), F.col("at") + 1, F.length("slug"))).alias("tail"))
+    sizes, firsts, lasts = F.array(F.lit(""), F.length("tail").cast("string")), F.array(F.lit(""), F.substring("tail", 1, 3)), F.array(F.lit(""), F.substring("tail", -3, 3))
+    for name, values in (("n", sizes), ("f", firsts), ("l", lasts)):
+        rows = rows.withColumn(name, F.explode(values))
+    return rows.select("id", "tail", F.concat_ws("/", "n", "f", "l").alias("like_key"))
+
+
 def resolve_targets(c: Corpus, slugs: DataFrame) -> DataFrame:
     """(dst_slug, id) of link targets (dst_slug): the first step that exactly one live document meets.
 
     Steps: slug; slug/index; title = basename; alias = basename; slug = basename or ends in /basename. The last one is an
-    equi-join on slugs' basenames, unless the basename holds a wildcard of LIKE.
+    equi-join on slugs' basenames, and for basenames with wildcards of LIKE on what of their ends, and of their length, holds no wildcard.
     """
     live = c.live.select("id", "slug", "title")
     t = slugs.select("dst_slug").distinct().withColumn("base", F.element_at(F.split("dst_slug", "/"), -1))
@@ -81,16 +100,16 @@ def resolve_targets(c: Corpus, slugs: DataFrame) -> DataFrame:
     wild = F.col("base").rlike("[_%]")
     ends = live.select("id", T.ascii_lower(F.element_at(F.split("slug", "/"), -1)).alias("end"), F.col("slug").alias("full"))
     same = (F.col("full") == F.col("base")) | F.col("full").contains("/")
-    pattern = F.concat(F.lit("%/"), F.replace("base", F.lit("\\"), F.lit("\\\\")))
     steps = [
         t.join(live, F.col("dst_slug") == F.col("slug")),
         t.join(live, F.concat("dst_slug", F.lit("/index")) == F.col("slug")),
         keyed.join(live.withColumn("k", T.ascii_lower("title")), F.col("key") == F.col("k")),
         keyed.join(names, F.col("key") == F.col("alias_key")),
         keyed.where(~wild).join(ends, (F.col("key") == F.col("end")) & same),
-        t.where(wild).join(live, (F.col("slug") == F.col("base")) | F.ilike("slug", pattern)),
+        t.where(wild).join(live, F.col("slug") == F.col("base")),
+        like_keys(t.where(wild)).join(tails(live), "like_key").where(F.ilike("tail", "pattern")),
     ]
-    rows = [s.select("dst_slug", F.lit(min(i, 4)).alias("step"), "id") for i, s in enumerate(steps)]
+    rows = [s.select("dst_slug", F.lit(min(i, 4)).alias("step"), "id").distinct() for i, s in enumerate(steps)]
     union = rows[0]
     for r in rows[1:]:
         union = union.unionByName(r)
@@ -121,8 +140,23 @@ def rename_targets(links: DataFrame, docs: DataFrame, moves: DataFrame) -> DataF
     return moved.select("src_doc_id", F.when(go, F.col("new")).otherwise(F.col("dst_slug")).alias("dst_slug"), F.when(go, F.col("new_id")).otherwise(F.col("dst_doc_id")).alias("dst_doc_id"), "edge_type", "anchor_text")
 
 
+#: Buckets that rows are numbered in.
+BUCKETS = 1 << 16
+
+
+def numbered(df: DataFrame, key: str, out: str, *then: str) -> DataFrame:
+    """Adds ``out``: 1, 2, 3, ... in order of the MD5 of ``key`` (then of other columns). Rows are dealt into BUCKETS by that
+    hash: only the buckets' counts meet in one place."""
+    rows = df.withColumn("_md5", F.md5(F.col(key))).withColumn("_b", F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int"))
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    base = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))  # BUCKETS rows at most
+    at = F.row_number().over(Window.partitionBy("_b").orderBy("_md5", *then))
+    return rows.withColumn("_at", at).join(F.broadcast(base), "_b").withColumn(out, F.col("_base") + F.col("_at")).drop("_md5", "_b", "_at", "_base")
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """docs by slug: new fields over old ones under the same id; slugs that are new take ids after the greatest; a slug that
+    """docs by slug: new fields over old ones under the same id; slugs that are new take ids after the greatest, in order of
+    their MD5; a slug that
     comes back is live again. created_at of old stays where the new one has none."""
     columns = [c for c in old.columns if c not in ("id", "slug")]
     o = old.select("slug", "id", F.lit(True).alias("_old"), *(F.col(c).alias(f"_o_{c}") for c in columns))
@@ -130,7 +164,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     both = o.join(n, "slug", "full_outer")
     keep = lambda c: F.coalesce(f"_n_{c}", f"_o_{c}") if c == "created_at" else F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    fresh = both.where("_old is null").select("slug").withColumn("_k", F.row_number().over(Window.orderBy("slug")))
+    fresh = numbered(both.where("_old is null").select("slug"), "slug", "_k")
     ids = fresh.join(F.broadcast(top)).select("slug", (F.col("_top") + F.col("_k")).alias("_id"))
     out = both.join(ids, "slug", "left")
     return out.select(F.coalesce("id", "_id").cast("long").alias("id"), "slug", *(keep(c).alias(c) for c in columns))
@@ -143,28 +177,27 @@ def soft_delete(docs: DataFrame, live_slugs: DataFrame, now: str) -> DataFrame:
     return docs.join(seen, "slug", "left").withColumn("deleted_at", F.when(gone, now).otherwise(F.col("deleted_at"))).select(*docs.columns)
 
 
-def without_deleted(c: Corpus) -> Corpus:
-    """Chunks, postings and outgoing links of live documents only; incoming links stay."""
-    ids = c.live.select("id")
-    chunks = c.chunks.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(*c.chunks.columns)
-    post = c.postings.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*c.postings.columns)
-    links = c.links.join(ids.withColumnRenamed("id", "src_doc_id"), "src_doc_id", "left_semi").select(*c.links.columns)
-    return Corpus(c.docs, c.aliases, chunks, links, post)
-
-
-def first_chunks(c: Corpus) -> DataFrame:
-    """(doc_id, chunk_id, heading_path, text) of each document's first chunk."""
+def first_chunks(c: Corpus, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_id, heading_path, text) of the first chunk of each document, or of each one of docs (doc_id)."""
     first = F.min(F.struct("chunk_index", F.col("id").alias("chunk_id"), "heading_path", "text")).alias("f")
-    return c.chunks.groupBy("doc_id").agg(first).select("doc_id", "f.chunk_id", "f.heading_path", "f.text")
+    chunks = c.chunks if docs is None else c.chunks.join(docs, "doc_id", "left_semi")
+    return chunks.groupBy("doc_id").agg(first).select("doc_id", "f.chunk_id", "f.heading_path", "f.text")
 
 
 def live_chunks(c: Corpus) -> DataFrame:
     return c.chunks.join(c.live.select(F.col("id").alias("doc_id"), "slug", "source_dir"), "doc_id")
 
 
+def word_index(c: Corpus) -> DataFrame:
+    """(word, n): words of live chunks, those in excluded directories too, and in how many chunks outside of these each occurs."""
+    open_ = ~F.col("source_dir").isin(*S.EXCLUDED_DIRS)
+    ids = live_chunks(c).select(F.col("id").alias("chunk_id"), F.when(open_, F.col("id")).alias("open"))
+    return c.postings.select("word", "chunk_id").join(ids, "chunk_id").groupBy("word").agg(F.count_distinct("open").alias("n"))
+
+
 def vocabulary(c: Corpus) -> DataFrame:
-    """Words of live chunks, those in excluded directories too."""
-    return c.postings.join(live_chunks(c).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("word").distinct()
+    """(word, n) as word_index gives it, stored or made."""
+    return c.words if c.words is not None else word_index(c)
 
 
 def search_postings(c: Corpus) -> DataFrame:

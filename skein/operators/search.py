@@ -7,6 +7,7 @@ are a few dozen rows by the settings' limits.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ from skein.functions import text as T
 from skein.operators import corpus as C
 from skein.operators.corpus import Corpus
 
+#: Edges as a table, or as what gives those at some nodes (node).
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
+#: Derived words that are held as a local table; more of them stay distributed. Words that a scan is told by name.
+LOOKUP, NAMED = 4096, 10
+
+
 def small(df: DataFrame) -> DataFrame:
     """df computed and held as a local table, for results that a setting bounds to a few dozen rows and that several stages
     use: plans stay short, and nothing is computed twice."""
@@ -39,15 +46,15 @@ def derivations(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
         .when(F.col("q_stem") == T.stem("word"), S.COST_STEM)
         .when((F.col("budget") > 0) & (distance > 0), distance * S.COST_TYPO)
     )
-    return pairs.select("qi", "word", cost.alias("cost"), (F.col("qw") == F.col("word")).alias("exact")).where("cost is not null")
+    return pairs.select("qi", "word", cost.alias("cost"), (F.col("qw") == F.col("word")).alias("exact"), *(["n"] if "n" in vocabulary.columns else [])).where("cost is not null")
 
 
-def word_weights(words: DataFrame, derived: DataFrame, df: DataFrame, total: DataFrame) -> DataFrame:
+def word_weights(words: DataFrame, derived: DataFrame, total: DataFrame) -> DataFrame:
     """(qi, df, gated, any_open, idf): chunks of all derived words together, at most all chunks; gated above DF_GATE of them.
 
-    total: one row (n), at least 1.
+    derived: with n, the chunks that hold each word; total: one row (n), at least 1.
     """
-    sums = derived.join(df, "word", "left").groupBy("qi").agg(F.sum("n").alias("c"))
+    sums = derived.groupBy("qi").agg(F.sum("n").alias("c"))
     rows = words.select("qi").join(sums, "qi", "left").join(F.broadcast(total.select(F.col("n").cast("double").alias("total"))))
     rows = rows.withColumn("df", F.least(F.coalesce(F.col("c"), F.lit(0)).cast("double"), F.col("total")))
     rows = rows.withColumn("gated", F.col("df") > S.DF_GATE * F.col("total"))
@@ -56,54 +63,83 @@ def word_weights(words: DataFrame, derived: DataFrame, df: DataFrame, total: Dat
 
 def occurrences(derived: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
     """(chunk_id, qi, cost, exact, attr, pos, idf) in candidate chunks: those of words that aren't gated, or of all if all are."""
-    found = postings.join(derived.join(weights, "qi"), "word")
-    candidates = found.where("not gated or not any_open").select("chunk_id").distinct()
-    return found.join(candidates, "chunk_id", "left_semi").select("chunk_id", "qi", "cost", "exact", "attr", "pos", "idf")
+    rows = derived.drop("n").join(F.broadcast(weights), "qi")
+    first = rows.limit(LOOKUP + 1).toArrow()
+    listed = first.num_rows <= LOOKUP
+    rows = rows.sparkSession.createDataFrame(first) if listed else rows
+    gated = [r["gated"] and r["any_open"] for r in first.to_pylist()]
+
+    def of(part: bool) -> DataFrame:
+        """Occurrences of the words that are gated, or of the others. Stored postings are sorted by word: a few words are looked up
+        by name, of more only the range is."""
+        names = sorted({w for w, g in zip(first["word"].to_pylist(), gated) if g == part})
+        some = postings if not listed else postings.where(F.col("word").isin(names) if len(names) <= NAMED else F.col("word").between(names[0], names[-1]))
+        return some.join(rows.where((F.col("gated") & F.col("any_open")) == part), "word").select("chunk_id", "qi", "cost", "exact", "attr", "pos", "idf")
+
+    found = of(False)
+    if listed and not any(gated):
+        return found
+    return found.unionByName(of(True).join(found.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+
+
+def by_chunk(found: DataFrame) -> DataFrame:
+    """(chunk_id, w): what each chunk has of the query's words, an array in order of qi: qi, idf, cost, inexact, at, places (attr, pos)."""
+    per_word = found.groupBy("chunk_id", "qi").agg(
+        F.first("idf").alias("idf"), F.min(F.struct("cost", (~F.col("exact")).alias("inexact"))).alias("m"),
+        F.min(F.struct("attr", "pos")).alias("at"), F.collect_set(F.struct("attr", "pos")).alias("places"),
+    )
+    return per_word.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("qi", "idf", "m.cost", "m.inexact", "at", "places"))).alias("w"))
 
 
-def proximity(found: DataFrame) -> DataFrame:
-    """(chunk_id, proximity): over neighbouring query words that both occur, the least cost of their places, FARTHEST at most.
+def _nearness(w: Column) -> Column:
+    """For each two neighbouring query words that both occur, the least cost of their places, FARTHEST at most."""
+    near = lambda x, y: F.when(y >= x, y - x).otherwise(x - y + 1)
+    far = F.lit(S.FARTHEST).cast("long")
 
-    Places of a word are one sorted array for each chunk and attribute, so that no pairs of places are made as rows.
-    """
-    places = found.groupBy("chunk_id", "qi", "attr").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    by_word = places.groupBy("chunk_id", "qi").agg(F.map_from_entries(F.collect_list(F.struct("attr", "places"))).alias("m"))
-    line = Window.partitionBy("chunk_id").orderBy("qi")
-    pairs = by_word.select("chunk_id", "qi", F.col("m").alias("a"), F.lead("m").over(line).alias("b"), F.lead("qi").over(line).alias("next")).where("next = qi + 1")
-    near = lambda x, y: F.least(F.lit(S.FARTHEST).cast("long"), F.when(y >= x, y - x).otherwise(x - y + 1))
+    def best(a: Column, b: Column) -> Column:
+        close = lambda x: F.filter(b["places"], lambda y: (y["attr"] == x["attr"]) & (F.abs(y["pos"] - x["pos"]) < S.FARTHEST))
+        return F.aggregate(a["places"], far, lambda low, x: F.when(low == 0, low).otherwise(F.least(low, F.coalesce(F.array_min(F.transform(close(x), lambda y: near(x["pos"], y["pos"]))), low))))
 
-    def best(attr: int) -> Column:
-        a, b = F.coalesce(F.try_element_at("a", F.lit(attr)), F.array().cast("array<bigint>")), F.coalesce(F.try_element_at("b", F.lit(attr)), F.array().cast("array<bigint>"))
-        return F.aggregate(a, F.lit(S.FARTHEST).cast("long"), lambda low, x: F.when(low == 0, low).otherwise(F.least(low, F.coalesce(F.array_min(F.transform(F.filter(b, lambda y: F.abs(y - x) < S.FARTHEST), lambda y: near(x, y))), low))))
+    pairs = F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"]["qi"] == p["a"]["qi"] + 1)
+    return F.transform(pairs, lambda p: best(p["a"], p["b"]))
 
-    return pairs.groupBy("chunk_id").agg(F.sum(F.least(*(best(a) for a in (C.TITLE, C.HEADING, C.BODY)))).alias("proximity"))
+
+def proximity(found: DataFrame) -> DataFrame:
+    """(chunk_id, proximity): the sum over neighbouring query words that both occur, of chunks with such words. No pairs of
+    places are made as rows."""
+    rows = by_chunk(found).select("chunk_id", _nearness(F.col("w")).alias("n")).where("size(n) > 0")
+    return rows.select("chunk_id", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("proximity"))
 
 
 def match_stats(found: DataFrame) -> DataFrame:
-    """The ranking rules' values for each chunk."""
-    per_word = found.groupBy("chunk_id", "qi").agg(F.min(F.struct("cost", (~F.col("exact")).alias("inexact"))).alias("m"), F.first("idf").alias("idf"), F.min(F.struct("attr", "pos")).alias("at"))
-    stats = per_word.groupBy("chunk_id").agg(
-        F.count("*").alias("words_matched"),
-        F.aggregate(F.array_sort(F.collect_list(F.struct("qi", "idf"))), F.lit(0.0), lambda s, x: s + x["idf"]).alias("idf_weight"),
-        F.sum("m.cost").cast("long").alias("typo_count"),
-        F.min("at").alias("at"),
-        F.count_if(~F.col("m.inexact")).alias("exact_count"),
-    )
-    out = stats.join(proximity(found), "chunk_id", "left")
-    return out.select("chunk_id", "words_matched", F.round("idf_weight", 6).alias("idf_weight"), "typo_count", F.coalesce("proximity", F.lit(0)).cast("long").alias("proximity"), F.col("at.attr").cast("long").alias("best_attr"), F.col("at.pos").alias("best_pos"), "exact_count")
+    """The ranking rules' values for each chunk; occurrences are read once."""
+    total = lambda start, of: F.aggregate("w", start, lambda s, x: s + of(x))
+    rows = by_chunk(found).withColumn("at", F.array_min(F.transform("w", lambda x: x["at"])))
+    return rows.select(
+        "chunk_id", F.size("w").cast("long").alias("words_matched"), F.round(total(F.lit(0.0), lambda x: x["idf"]), 6).alias("idf_weight"), total(F.lit(0).cast("long"), lambda x: x["cost"]).alias("typo_count"),
+        F.aggregate(_nearness(F.col("w")), F.lit(0).cast("long"), lambda s, x: s + x).alias("proximity"),
+        F.col("at.attr").cast("long").alias("best_attr"), F.col("at.pos").alias("best_pos"), F.size(F.filter("w", lambda x: ~x["inexact"])).cast("long").alias("exact_count"),
+    )
 
 
 RULES = (F.desc, "words_matched"), (F.desc, "idf_weight"), (F.asc, "typo_count"), (F.asc, "proximity"), (F.asc, "best_attr"), (F.asc, "best_pos"), (F.desc, "exact_count"), (F.asc, "chunk_id")
 
 
-def lexical_search(c: Corpus, query: str, top_k: int = S.STRATEGY_TOP_K) -> DataFrame:
-    """The best chunks by RULES, with their values."""
-    words = query_words(c.docs.sparkSession, query)
-    postings = C.search_postings(c)
+def lookup(c: Corpus, query: str) -> tuple[DataFrame, DataFrame]:
+    """(weights, occurrences) of a query's words: the vocabulary is read once, and of the postings the derived words' only."""
+    words = small(query_words(c.docs.sparkSession, query))  # MAX_QUERY_WORDS rows
     derived = derivations(words, C.vocabulary(c))
     total = C.live_chunks(c).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    weights = word_weights(words, derived, C.word_chunks(postings.join(derived.select("word").distinct(), "word", "left_semi")), total)
-    return match_stats(occurrences(derived, weights, postings)).orderBy(*(way(name) for way, name in RULES)).limit(top_k)
+    first = derived.limit(LOOKUP + 1).toArrow()
+    derived = derived.sparkSession.createDataFrame(first) if first.num_rows <= LOOKUP else derived
+    weights = small(word_weights(words, derived, total))
+    return weights, occurrences(derived, weights, C.search_postings(c))
+
+
+def lexical_search(c: Corpus, query: str, top_k: int = S.STRATEGY_TOP_K) -> DataFrame:
+    """The best chunks by RULES, with their values."""
+    weights, found = lookup(c, query)
+    return match_stats(found).orderBy(*(way(name) for way, name in RULES)).limit(top_k)
 
 
 def vector_search(chunks: DataFrame, vector: list[float], top_k: int = S.STRATEGY_TOP_K) -> DataFrame:
@@ -128,12 +164,16 @@ def fuse(lists: list[DataFrame], k: float = S.RRF_K, top_k: int = S.FUSED_TOP_K)
     return fused.orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
-def edges_both_ways(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, other, src_doc_id, dst_slug, edge_type) of links of live sources, seen from both ends; other is null if dangling."""
-    live = links.join(docs.where("deleted_at is null").select(F.col("id").alias("src_doc_id"), F.col("slug").alias("src_slug")), "src_doc_id")
+def edges_both_ways(links: DataFrame, docs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, other, src_doc_id, dst_slug, edge_type) of links of live sources, seen from both ends; other is null if dangling.
+
+    nodes (node): only edges at these.
+    """
+    at = lambda end: links if nodes is None else links.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    names = docs.where("deleted_at is null").select(F.col("id").alias("src_doc_id"), F.col("slug").alias("src_slug"))
     cols = ["src_doc_id", "src_slug", "dst_slug", "edge_type"]
-    out = live.select(F.col("src_doc_id").alias("node"), F.col("dst_doc_id").alias("other"), *cols)
-    back = live.where("dst_doc_id is not null and dst_doc_id <> src_doc_id").select(F.col("dst_doc_id").alias("node"), F.col("src_doc_id").alias("other"), *cols)
+    out = at("src_doc_id").join(names, "src_doc_id").select(F.col("src_doc_id").alias("node"), F.col("dst_doc_id").alias("other"), *cols)
+    back = at("dst_doc_id").where("dst_doc_id is not null and dst_doc_id <> src_doc_id").join(names, "src_doc_id").select(F.col("dst_doc_id").alias("node"), F.col("src_doc_id").alias("other"), *cols)
     return out.unionByName(back)
 
 
@@ -143,21 +183,25 @@ def cap_hubs(edges: DataFrame) -> DataFrame:
     return edges.withColumn("k", F.row_number().over(line)).where(F.col("k") <= S.HUB_EDGES).drop("k")
 
 
-def distances(seeds: DataFrame, edges: DataFrame, hops: int, capped: bool = True) -> DataFrame:
+def edges_at(edges: Edges, nodes: DataFrame) -> DataFrame:
+    return edges(nodes) if callable(edges) else edges.join(nodes, "node", "left_semi")
+
+
+def distances(seeds: DataFrame, edges: Edges, hops: int, capped: bool = True) -> DataFrame:
     """(id, dist) of documents within ``hops`` of seeds (id). Only edges of a frontier's nodes are capped and followed."""
     out = seeds.select("id", F.lit(0).alias("dist"))
     frontier = seeds.select("id")
     for hop in range(1, hops + 1):
-        near = edges.join(frontier.withColumnRenamed("id", "node"), "node", "left_semi")
+        near = edges_at(edges, frontier.select(F.col("id").alias("node")))
         near = (cap_hubs(near) if capped else near).where("other is not null").select(F.col("other").alias("id")).distinct()
         frontier = near.join(out, "id", "left_anti")
         out = out.unionByName(frontier.withColumn("dist", F.lit(hop)))
     return out
 
 
-def adjacent_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def adjacent_seeds(seeds: DataFrame, edges: Edges) -> DataFrame:
     """(id) of seeds with a (capped) edge to a seed, itself included."""
-    near = cap_hubs(edges.join(seeds.select(F.col("id").alias("node")), "node", "left_semi"))
+    near = cap_hubs(edges_at(edges, seeds.select(F.col("id").alias("node"))))
     pairs = near.join(seeds.select(F.col("id").alias("other")), "other", "left_semi")
     return pairs.select(F.col("node").alias("id")).unionByName(pairs.select(F.col("other").alias("id"))).distinct()
 
@@ -166,8 +210,8 @@ def inject(seeds: DataFrame, dist: DataFrame, c: Corpus) -> DataFrame:
     """(doc_id, chunk_id, heading_path, text, score): neighbours of seeds (id, score), nearest first, MAX_INJECTED at most."""
     top = seeds.agg(F.max("score").alias("top"))
     near = dist.where("dist > 0").join(c.searchable.select("id"), "id", "left_semi").orderBy("dist", "id").limit(S.MAX_INJECTED)
-    near = near.join(F.broadcast(top)).select(F.col("id").alias("doc_id"), (S.INJECT * F.col("top") * F.pow(F.lit(S.HOP_DECAY), F.col("dist") - 1)).alias("score"))
-    return near.join(C.first_chunks(c), "doc_id").select("doc_id", "chunk_id", "heading_path", "text", "score")
+    near = small(near).join(F.broadcast(top)).select(F.col("id").alias("doc_id"), (S.INJECT * F.col("top") * F.pow(F.lit(S.HOP_DECAY), F.col("dist") - 1)).alias("score"))
+    return near.join(C.first_chunks(c, F.broadcast(near.select("doc_id"))), "doc_id").select("doc_id", "chunk_id", "heading_path", "text", "score")
 
 
 def traverse(c: Corpus, start: DataFrame, hops: int, edge_type: str | None = None) -> DataFrame:
@@ -176,11 +220,11 @@ def traverse(c: Corpus, start: DataFrame, hops: int, edge_type: str | None = Non
     An edge's hop is one more than the nearer end's distance; no hubs are capped, dangling ends are shown, not followed.
     """
     links = c.links.where(F.col("edge_type") == edge_type) if edge_type else c.links
-    edges = edges_both_ways(links, c.docs)
+    edges = lambda nodes: edges_both_ways(links, c.docs, nodes)
     dist = distances(start, edges, hops - 1, capped=False) if hops > 1 else start.select("id", F.lit(0).alias("dist"))
     if hops < 1:
         dist = dist.where("false")
-    near = edges.join(dist.withColumnRenamed("id", "node"), "node")
+    near = edges(dist.select(F.col("id").alias("node"))).join(dist.withColumnRenamed("id", "node"), "node")
     return near.groupBy("src_doc_id", "src_slug", "dst_slug", "edge_type").agg((F.min("dist") + 1).cast("long").alias("hop")).drop("src_doc_id")
 
 
@@ -204,6 +248,11 @@ def evidence(alias: Column, title: Column, matched: Column, typos: Column, sim:
     )
 
 
+def best_of_docs(rows: DataFrame) -> DataFrame:
+    """(doc_id, score): the best of each document's chunks."""
+    return rows.groupBy("doc_id").agg(F.max("score").alias("score"))
+
+
 def candidates(c: Corpus, lexical: DataFrame, vector: DataFrame, intent: str, hops: int) -> DataFrame:
     """Fused chunks and injected neighbours: doc_id, chunk_id, heading_path, text, score, injected, sim, words_matched, typo_count."""
     w_lex, w_vec = S.STRATEGY_WEIGHTS[intent]
@@ -211,8 +260,8 @@ def candidates(c: Corpus, lexical: DataFrame, vector: DataFrame, intent: str, ho
     docs = c.searchable.select(F.col("id").alias("doc_id"))
     chunks = c.chunks.select(F.col("id").alias("chunk_id"), "doc_id", "heading_path", "text")
     hydrated = small(fused.join(chunks, "chunk_id").join(docs, "doc_id", "left_semi"))  # FUSED_TOP_K rows at most
-    seeds = hydrated.groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("score"))
-    edges = edges_both_ways(c.links, c.docs)
+    seeds = best_of_docs(hydrated).withColumnRenamed("doc_id", "id")
+    edges = lambda nodes: edges_both_ways(c.links, c.docs, nodes)
     boosted = adjacent_seeds(seeds, edges).select(F.col("id").alias("doc_id"), F.lit(True).alias("adjacent"))
     own = hydrated.join(boosted, "doc_id", "left").withColumn("score", F.col("score") * F.when(F.col("adjacent"), S.ADJACENT_BOOST).otherwise(1.0)).withColumn("injected", F.lit(False)).drop("adjacent")
     more = small(inject(seeds, distances(seeds, edges, hops), c)).withColumn("injected", F.lit(True))  # MAX_INJECTED rows at most
@@ -225,9 +274,12 @@ def score_candidates(c: Corpus, found: DataFrame, query: str, intent: str, as_of
     """Candidates with all priors in score (rounded to 9 places), evidence, and their documents' columns."""
     q = query.strip().lower()
     temporal = intent == "temporal"
-    names = c.aliases.groupBy("doc_id").agg(F.max(F.lower("alias") == q).alias("alias_hit"))
+    found = small(found)  # FUSED_TOP_K and MAX_INJECTED rows
+    ids = F.broadcast(found.select("doc_id").distinct())
+    names = c.aliases.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.lower("alias") == q).alias("alias_hit"))
     rows = found.join(c.docs.select(F.col("id").alias("doc_id"), "slug", "title", "doc_type", "source_dir", "updated_at"), "doc_id")
-    rows = rows.join(C.in_degree(c.links), "doc_id", "left").join(names, "doc_id", "left")
+    linked = c.links.join(ids.withColumnRenamed("doc_id", "dst_doc_id"), "dst_doc_id", "left_semi")
+    rows = rows.join(C.in_degree(linked), "doc_id", "left").join(names, "doc_id", "left")
     alias = F.coalesce("alias_hit", F.lit(False))
     title = F.lower("title").contains(q) if q else F.lower("title") == q
     score = F.col("score") * T.tier_factor("source_dir", temporal) * authority(F.col("typed"), F.col("mentions")) * recency(T.age_days("updated_at", F.lit(as_of).cast("timestamp")), temporal) * name_boost(alias, title)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import markdown as M
@@ -34,6 +34,12 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
+def capture_name(title: Column, now: Column) -> tuple[Column, Column]:
+    """The title of a captured note, in one line, and its slug."""
+    sane = T.sanitize_title(title)
+    return sane, F.concat(F.lit("inbox/"), F.date_format(now, "yyyy-MM-dd-HHmmss"), F.lit("-"), T.slugify(sane))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, heading_path, text) of docs (id, title, body); a body without text is one chunk, the title."""
     rows = docs.withColumn("c", M.chunks_column(F.col("body")))

@@ -6,9 +6,12 @@ deleted, every 5th has aliases, pages link to one another by arithmetic on their
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import settings as S
 from skein.functions import text as T
 from skein.operators import corpus as C
 from skein.operators.corpus import Corpus
@@ -50,12 +53,26 @@ def links(d: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("src_doc_id"), slug.alias("dst_slug"), "dst_doc_id", "edge_type", F.lit(None).cast("string").alias("anchor_text"))
 
 
+_KEPT: dict[tuple[str, str], Corpus] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
-    """The corpus, its postings kept as an index is, and its chunks that have a vector."""
-    d = docs(spark, sf_dir)
+    """The corpus, and its chunks that have a vector. A stored corpus has its tables on disk, postings in order of word: here they
+    are cached, one corpus at a time."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _KEPT:
+        for (application, _), old in list(_KEPT.items()):
+            for df in vars(old).values() if application == key[0] else ():
+                df.unpersist()
+        _KEPT.clear()
+        n = 2 * spark.sparkContext.defaultParallelism  # parts of a cached table
+        d = docs(spark, sf_dir).repartition(n).cache()
+        chunks = d.select("id", F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("lang").alias("heading_path"), F.col("body").alias("text"))
+        c = Corpus(d, C.alias_rows(d).cache(), chunks, links(d).cache(), C.postings(d, chunks).repartition(n, "word").sortWithinPartitions("word", "chunk_id").cache())
+        _KEPT[key] = replace(c, words=C.word_index(c).repartition(n, "word").cache())
+    c = replace(_KEPT[key])
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    chunks = d.select("id", F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("lang").alias("heading_path"), F.col("body").alias("text"))
-    return Corpus(d, C.alias_rows(d), chunks, links(d), C.postings(d, chunks).cache()), chunks.join(vectors, "id")
+    return c, c.chunks.join(vectors, "id")
 
 
 def probe(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -67,7 +84,7 @@ TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w:
 
 
 def stem_sql(w: str) -> str:
-    rules = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("es", ""), ("s", ""))
+    rules = S.STEM_RULES
     return "CASE " + " ".join(f"WHEN ends_with({w}, '{a}') AND length({w}) - {len(a)} >= 3 THEN substr({w}, 1, length({w}) - {len(a)}) || '{b}'" for a, b in rules) + f" ELSE {w} END"
 
 

@@ -2,12 +2,12 @@
 
 GET /health, /api/search?q&mode&limit, /api/think?q&mode, /api/graph?start&edge&hops, /api/stats, /api/docs/NAME;
 POST /api/capture {text, title}, /api/sync. Errors are {"error": ...} with 404 (no such document), 409 (no knowledge base),
-400 (bad request) or 500. Spark jobs run one request at a time; results stay in the knowledge base's cache until it changes.
+400 (bad request) or 500. Spark jobs run one request at a time; answers to search, think and graph stay in the knowledge base's
+cache (256 of them) until it changes, and say so (cached).
 """
 
 from __future__ import annotations
 
-import argparse
 import json
 import threading
 import urllib.error
@@ -17,7 +17,6 @@ from urllib.parse import parse_qs, quote, unquote, urlencode, urlsplit
 
 from pyspark.sql import SparkSession
 
-from skein import cli
 from skein import settings as S
 from skein.kb import DocNotFound, KnowledgeBase, NotInitialized
 
@@ -45,7 +44,16 @@ def command(method: str, path: str, query: dict[str, str], body: dict) -> list[s
 
 def serve(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int = PORT) -> ThreadingHTTPServer:
     """A server, bound but not running: call serve_forever()."""
-    lock = threading.Lock()
+    from skein import cli  # which asks servers, too
+
+    lock, held = threading.Lock(), []
+
+    def knowledge() -> KnowledgeBase:
+        """One for all requests, so that answers stay; it follows the snapshots that others make."""
+        if not held:
+            held.append(KnowledgeBase.open(spark, root))
+        held[0].refresh()
+        return held[0]
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self, status: int, found: object) -> None:
@@ -66,7 +74,7 @@ def serve(spark: SparkSession, root: str, host: str = "127.0.0.1", port: int = P
                 if words is None:
                     return self.answer(404, {"error": f"no route {method} {url.path}"})
                 with lock:
-                    found = cli.run(spark, cli.parser().parse_args(["--knowledge", root, *words]))
+                    found = cli.run(knowledge(), cli.parser().parse_args(words))
                 self.answer(200, found)
             except DocNotFound as e:
                 self.answer(404, {"error": f"document not found: {e}"})
@@ -128,18 +136,3 @@ class Client:
 
     def sync(self) -> dict:
         return self._ask("/api/sync", body={})
-
-
-def main() -> None:
-    p = argparse.ArgumentParser(prog="skein.server")
-    p.add_argument("--knowledge", default=".")
-    p.add_argument("--host", default="127.0.0.1")
-    p.add_argument("--port", type=int, default=PORT)
-    args = p.parse_args()
-    spark = SparkSession.builder.appName("skein").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    with serve(spark, args.knowledge, args.host, args.port) as server:
-        server.serve_forever()
-
-
-if __name__ == "__main__":
-    main()

@@ -35,7 +35,6 @@ STRATEGY_WEIGHTS = {"entity": (1.2, 1.0), "event": (1.2, 1.0), "temporal": (1.0,
 STEM_RULES = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("es", ""), ("s", ""))
 SENTENCE_LEADERS = ("The", "A", "An", "Should", "What", "When", "Who", "Whom", "How", "Why", "Is", "Are", "Will", "Can", "Could", "Does", "Do", "Did")
 VALID_TYPES = ("note", "session", "group", "person", "place", "venue", "event", "organization", "company", "product", "contact")
-EDGE_TYPES = ("founded", "invested_in", "works_at", "advises", "attended", "mentions")
 
 # Patterns that decide intents, edge types and links; \b and \w are Unicode-aware where they are used.
 ENTITY_LEAD = r"^(who is|who works|who's|where does|what does .{1,40} do|tell me about)\b"

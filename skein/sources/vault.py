@@ -31,6 +31,21 @@ def walk(root: str) -> Iterator[str]:
                 yield os.path.relpath(path, root)
 
 
+def read_file(full: str) -> tuple[str | None, str | None, str | None]:
+    """(content, modified, issue) of a file; issue says why content is null: too large, not UTF-8, unreadable."""
+    content = modified = issue = None
+    try:
+        modified = datetime.fromtimestamp(os.stat(full).st_mtime, UTC).isoformat(timespec="seconds")
+        if (n := os.path.getsize(full)) > S.MAX_FILE_BYTES:
+            issue = f"file too large: {n} bytes"
+        else:
+            with open(full, encoding="utf-8", newline="") as f:
+                content = f.read()
+    except (OSError, UnicodeDecodeError) as e:
+        issue = str(e)
+    return content, modified, issue
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """FILES below root. issue says why content is null: too large, not UTF-8, unreadable."""
     paths = list(walk(root))
@@ -38,21 +53,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                content = modified = issue = None
-                try:
-                    full = os.path.join(root, path)
-                    modified = datetime.fromtimestamp(os.stat(full).st_mtime, UTC).isoformat(timespec="seconds")
-                    if (n := os.path.getsize(full)) > S.MAX_FILE_BYTES:
-                        issue = f"file too large: {n} bytes"
-                    else:
-                        with open(full, encoding="utf-8", newline="") as f:
-                            content = f.read()
-                except (OSError, UnicodeDecodeError) as e:
-                    issue = str(e)
-                rows.append((path, content, modified, issue))
-            yield pd.DataFrame(rows, columns=["path", "content", "modified", "issue"])
+            yield pd.DataFrame([(p, *read_file(os.path.join(root, p))) for p in batch["path"]], columns=["path", "content", "modified", "issue"])
 
     return names.mapInPandas(read, "path string, content string, modified string, issue string").select(T.slug_for("path").alias("slug"), "path", "content", "modified", "issue")
 

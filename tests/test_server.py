@@ -33,9 +33,24 @@ def test_server_and_stream(spark, tmp_path, capsys):
         stats = client.stats()
         assert (stats["docs"], stats["links"], stats["dangling_links"]) == (2, 2, 0)
         assert client.doc("second")["slug"] == "b/second"
+        assert "cached" not in client.search("first page") and client.search("first page")["cached"]
+        where = ["--server", f"http://127.0.0.1:{server.server_port}"]
+        got = client.capture("a thought\nand more")
+        assert got["path"].endswith(f"{got['slug']}.md") and open(got["path"]).read().endswith("a thought\nand more\n")
+        assert "cached" not in client.search("first page") and client.doc(got["slug"])["content"].startswith("---\ntitle:")
+        capsys.readouterr()
+        assert cli.main([*where, "stats"]) == 0 and "3 documents" in capsys.readouterr().out
+        assert cli.main([*where, "search", "first page"]) == 0 and "from the cache" in capsys.readouterr().out
+        assert cli.main([*where, "validate"]) == 1
         assert {(e["src_slug"], e["dst_slug"], e["edge_type"]) for e in client.graph("b/second", hops=1)["edges"]} == {("b/second", "a", "founded"), ("a", "Second", "mentions")}
         with pytest.raises(RemoteError, match="not found"):
             client.doc("nobody")
         with pytest.raises(RemoteError, match="bad request"):
             client._ask("/api/search")
         server.shutdown()
+    other = tmp_path / "other.md"
+    other.write_text("---\ntitle: T\n---\n")
+    assert cli.main(["--knowledge", str(root), "validate", str(other)]) == 2 and "missing required" in capsys.readouterr().out
+    assert cli.main(["--knowledge", str(root), "validate", str(tmp_path / "none.md")]) == 2 and "cannot read file" in capsys.readouterr().out
+    for command in (["sync"], ["think", "Second"], ["graph-query", "a"]):
+        assert cli.main(["--knowledge", str(root), *command]) == 0 and capsys.readouterr().out

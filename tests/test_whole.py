@@ -32,12 +32,12 @@ def number(slug: str) -> int:
 
 
 def test_links_of_all_documents(spark):
-    got = agreed(spark, "links_table_all")
+    got = agreed(spark, "links_table")
     assert {r["src_doc_id"] for r in got} == set(range(1000))
     assert any(r["dst_doc_id"] is not None and r["src_doc_id"] > 2 for r in got)
 
 
-@pytest.mark.parametrize("name", ["gap_stale_all", "gap_dangling_all"])
+@pytest.mark.parametrize("name", ["gap_stale", "gap_dangling"])
 def test_gaps_of_all_documents(spark, name):
     assert max(number(r["slug"]) for r in agreed(spark, name)) > 900
 
@@ -52,7 +52,7 @@ def test_low_confidence_reads_all_documents(spark, monkeypatch):
 
 
 def test_dangling_links_of_all_documents(spark):
-    assert {number(r["slug"]) % 2 for r in agreed(spark, "dangling_links_all")} == {0, 1}
+    assert {number(r["slug"]) % 2 for r in agreed(spark, "dangling_links")} == {0, 1}
 
 
 def intent(text: str, known: bool) -> str:
@@ -66,15 +66,18 @@ def test_intent_of_whole_texts(spark, tmp_path):
     pad = "plain words that mean nothing at all to any of the rules here, so to say, "
     rows = [(1, 1, pad + "until yesterday"), (2, 1, pad + "at the keynote"), (3, 0, pad + "x"), (4, 0, "one two three four five " + "x" * 60 + " seven"), (5, 1, pad), (6, 0, "some name"), (7, 1, "who is " + pad)]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["conv_id"]: r["intent"] for r in QUERIES["classify_intent_all"](spark, str(tmp_path)).collect()}
+    got = {r["conv_id"]: r["intent"] for r in QUERIES["classify_intent"](spark, str(tmp_path)).collect()}
     assert got == {c: intent(t, k == 0) for c, k, t in rows} == {1: "temporal", 2: "event", 3: "general", 4: "general", 5: "general", 6: "entity", 7: "entity"}
     texts = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text").collect()
-    got = sorted((r["conv_id"], r["turn"], r["intent"]) for r in QUERIES["classify_intent_all"](spark, SF).collect())
+    got = sorted((r["conv_id"], r["turn"], r["intent"]) for r in QUERIES["classify_intent"](spark, SF).collect())
     assert got == sorted((r["conv_id"], r["turn"], intent(r["text"], r["turn"] == 0)) for r in texts)
 
 
 def test_bad_utf8_anywhere(spark, tmp_path):
-    texts = ["é" * 60, "a" + "é" * 60, "x" * 500, "", None, b"\xff", b"x" * 300 + b"\xc3\x28", b"x" * 300 + b"\xc3"]
-    rows = [(i, t.encode() if isinstance(t, str) else t) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r["doc_id"] for r in QUERIES["scan_bad_utf8"](spark, str(tmp_path)).collect()) == [5, 6, 7]
+    from skein.sources import vault
+
+    texts = {"good": "é" * 200_000, "far": "é" * 200_000, "empty": ""}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.md").write_bytes(text.encode() + (b"\xc3" if name == "far" else b""))
+    got = {r["slug"]: (r["content"], r["issue"] is None) for r in vault.scan(spark, str(tmp_path)).collect()}
+    assert got == {"good": (texts["good"], True), "far": (None, False), "empty": ("", True)}
