@@ -15,8 +15,8 @@ same one. Finding them takes these steps:
    backward extension over their Burrows-Wheeler transform derives common prefixes by increasing value and stops at
    ``least``. Neighbours in suffix order without a value then share ``least`` bytes.
 4. A place has LIMIT contexts, about: the anchors of a larger one are dealt out by a hash. Anchors with more than CHUNK contexts
-   are dealt out over several chunks of their place; these also give, for every RUN neighbouring windows whose core occurs
-   twice, the hash of the bytes that these windows share. Only windows whose shared bytes occur in several chunks are counted one by one.
+   are dealt out over several chunks of their place; these also give the hashes of all windows whose core occurs twice (of those
+   that are repeated in the chunk, one each), many to a row, dealt out by hash, and windows are counted over all chunks.
 
 Texts that occur more than once are repeats as a whole if they have ``least`` bytes; they are counted like all others, but
 not searched further.
@@ -41,7 +41,7 @@ from .shared import claim, discard, materialize, mix
 
 #: Contexts of an anchor that meet in one place, of all anchors of a place, bytes of a text whose anchors share a place, and bytes
 #: whose suffixes are sorted together, about.
-CHUNK, LIMIT, REGION, BATCH_BYTES, CORES, RUN = 1024, 1 << 14, 4096, 1 << 20, 4, 16
+CHUNK, LIMIT, REGION, BATCH_BYTES, CORES = 1024, 1 << 14, 4096, 1 << 20, 4
 _SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,7 +194,8 @@ def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 MARKS = pa.list_(pa.struct([("pos", pa.int32()), ("mask", pa.int32()), ("twice", pa.bool_())]))
-WINDOWS = pa.list_(pa.struct([("at", pa.int32()), ("d", pa.binary()), ("sure", pa.bool_())]))
+#: A window of a hot anchor: digest, text, start, whether it is known to be repeated.
+WINDOW = np.dtype([("d", "<u8", 2), ("uid", "<u8", 2), ("at", "<i4"), ("sure", "?")])
 
 
 def places(chosen: DataFrame) -> DataFrame:
@@ -311,23 +312,29 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
                 where = where + np.array([r[3] for r in held], np.int64)
             known = [(i, max(m["pos"] + q - least - r[3], 0), min(m["pos"] - r[3], len(r[4]) - least)) for i, r in enumerate(held) for m in r[5] if m["twice"]]
             on, starts = repeated([r[4] for r in held], where, known, least)
-            out, seen = [], set()
+            out, windows, seen = [], [], set()
             for r, at in zip(held, starts.tolist()):
                 mine = on[at : at + len(r[4])]
                 for m in r[5]:
                     here = m["pos"] - r[3]
-                    for top in range(here, max(here + q - least, 0) - 1, -RUN) if m["mask"] else ():
-                        some = [i for i in range(max(top - RUN + 1, here + q - least, 0), min(top, len(r[4]) - least) + 1) if m["mask"] >> min((here - i) // step, CORES - 1) & 1]
-                        if not some:
-                            continue
-                        key = r[0], r[1], xxhash.xxh3_64_intdigest(r[4][top : top - RUN + 1 + least]) - (1 << 63)
-                        if key in seen and mine[some].all():  # another context of the chunk speaks for it
-                            continue
-                        seen.add(key)
-                        out.append((r[2], 0, 0, key[2], r[1], [{"at": r[3] + i, "d": xxhash.xxh3_128_digest(r[4][i : i + least]), "sure": bool(mine[i])} for i in some]))
-                out += [(r[2], r[3] + i, r[3] + j - 1 + least, None, None, None) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), WINDOWS)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["uid", "low", "high", "probe", "chunk", "windows"])
+                    for i in range(max(here + q - least, 0), min(here, len(r[4]) - least) + 1) if m["mask"] else ():
+                        if m["mask"] >> min((here - i) // step, CORES - 1) & 1:
+                            d = xxhash.xxh3_128_digest(r[4][i : i + least])
+                            if d not in seen:  # else another window of the chunk speaks for it, or it is the same one
+                                seen.add(d)
+                                windows.append((d, r[2], r[3] + i, bool(mine[i])))
+                out += [(r[2], r[3] + i, r[3] + j - 1 + least, None, None) for i, j in zip(*(x.tolist() for x in _runs(mine)))]
+            if windows:
+                digests, owners, ats, sure = zip(*windows)
+                packed = np.empty(len(windows), WINDOW)
+                packed["d"], packed["uid"] = (np.frombuffer(b"".join(x), "<u8").reshape(-1, 2) for x in (digests, owners))
+                packed["at"], packed["sure"] = ats, sure
+                bucket = (packed["d"][:, 0] % np.uint64(shuffles)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                names, first = np.unique(bucket[order], return_index=True)
+                out += [(None, None, None, int(k), x.tobytes()) for k, x in zip(names, np.split(packed[order], first[1:]))]
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["uid", "low", "high", "bucket", "windows"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("spot", "chunk", "uid", "low", "stretch", "marks"))):
@@ -344,13 +351,32 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
 
     pieces = pieces.mapInArrow(cut_out, "spot long, chunk int, uid binary, low int, stretch binary, marks array<struct<pos int, mask int, twice boolean>>")
     met = pieces.repartition(shuffles, "spot", "chunk").sortWithinPartitions("spot", "chunk", "uid", "low")
-    met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, probe long, chunk int, windows array<struct<at int, d binary, sure boolean>>"), "met")
-    probes = met.where("probe is not null").select("uid", "probe", "chunk", "windows")
-    several = probes.groupBy("probe").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y")).where("x < y").select("probe")
-    windows = probes.join(several, "probe", "left_semi").select("uid", F.inline("windows"))
-    again = windows.groupBy("d").agg(F.min(F.struct("uid", "at")).alias("x"), F.max(F.struct("uid", "at")).alias("y"), F.max("sure").alias("sure")).where("sure or x <> y").select("d")
-    late = windows.where("not sure").join(again, "d", "left_semi").select("uid", F.col("at").alias("low"), (F.col("at") + least).alias("high"))
-    spans = met.where("probe is null").select("uid", "low", "high").unionByName(late)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def late() -> pa.RecordBatch:
+            w = np.frombuffer(b"".join(held), WINDOW)
+            w = w[np.lexsort((w["d"][:, 1], w["d"][:, 0]))]
+            head = np.append(True, (w["d"][1:] != w["d"][:-1]).any(1))
+            first, group = np.flatnonzero(head), np.cumsum(head) - 1
+            other = (w["uid"] != w["uid"][first][group]).any(1) | (w["at"] != w["at"][first][group])
+            again = np.logical_or.reduceat(other | w["sure"], first)[group] & ~w["sure"]
+            uids, at = [u.tobytes() for u in w["uid"][again]], w["at"][again]
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(at, pa.int32()), pa.array(at + least, pa.int32())], names=["uid", "low", "high"])
+
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("windows").to_pylist()):
+                if bucket != now and held:
+                    yield late()
+                    held.clear()
+                now = bucket
+                held.append(blob)
+        if held:
+            yield late()
+
+    met = materialize(met.mapInArrow(compare, "uid binary, low int, high int, bucket long, windows binary"), "met")
+    dealt = met.where("bucket is not null").select("bucket", "windows").repartition(shuffles, "bucket").sortWithinPartitions("bucket")
+    spans = met.where("bucket is null").select("uid", "low", "high").unionByName(dealt.mapInArrow(count, "uid binary, low int, high int"))
     spans = spans.groupBy("uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     whole = work.withColumn("whole", F.transform(F.filter("wanted", lambda w: w["kind"] == 0), lambda w: w["pos"])).select("uid", "text", "whole").join(copied, "uid", "left_anti")
 
