@@ -271,7 +271,7 @@ def find(docs: DataFrame, least: int, text: str = "text") -> tuple[DataFrame, Da
 
     asked = work.select("uid", "text", F.filter("wanted", lambda w: w["kind"] > 0).alias("wanted")).where("size(wanted) > 0")
     cores = materialize(asked.mapInArrow(core, "h long, g int, core long, uid binary, pos int, twice boolean"), "cores")
-    shared = cores.groupBy("h", "g", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(cores.groupBy("h", "g", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     chosen = cores.join(shared, ["h", "g", "core"]).groupBy("h", "uid", "pos").agg(F.max("twice").alias("twice"), F.bit_or(F.pow(F.lit(2), F.col("g")).cast("int")).alias("mask"))
     chosen = materialize(chosen, "chosen")
     dealt = chosen.join(places(chosen), "h")
