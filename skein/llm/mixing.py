@@ -192,7 +192,8 @@ def realize(docs: DataFrame, shards: int = 8, part_bytes: int = 64 << 20, **how)
     at = F.split("shards", ",")[F.col("copy") - 1].cast("int")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     out = copies.select(at.alias("shard"), F.xxhash64(F.lit("local"), "key", "copy").alias("at"), F.struct(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)).alias("row"))
-    return out.repartition(F.col("shard"), F.pmod("at", F.lit(parts))).sortWithinPartitions("shard", "at").select("row.*")
+    place = F.col("shard") * parts + F.pmod("at", F.lit(parts)).cast("int")  # each local part a task of its own: hashed keys would meet in some
+    return out.repartitionById(shards * parts, place).sortWithinPartitions("shard", "at").select("row.*")
 
 
 def oracle(shards: int = 8) -> str:
