@@ -30,6 +30,8 @@ FEATURES = (
     "distinct_words", "top_word", "distinct_pairs", "bytes_a_sign", "sign_runs", "capital_words", "long_words", "odd_signs", "byte_entropy", "bars",
 )
 BINS, TREES, LEAVES, RATE, LEAST, RIDGE = 64, 120, 12, 0.1, 8, 1.0
+#: Texts of a batch that are taken out of Arrow at a time.
+SLICE = 256
 _CLASS = np.zeros(256, np.uint8)
 for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), (9, 10, 11, 12, 13, 32), range(128, 256), b".,;:!?'\"()-")):
     _CLASS[list(_bytes)] = _k + 1
@@ -132,12 +134,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _all_statistics(texts: pa.Array) -> list[list[float]]:
+    """statistics() of each text; few texts at a time are Python objects."""
+    return [statistics(t) for at in range(0, len(texts), SLICE) for t in texts.slice(at, SLICE).to_pylist()]
+
+
 def _stats(rows: DataFrame, keep: list[str]) -> DataFrame:
     kept = [rows.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for b in batches:
-            x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
+            x = pa.array(_all_statistics(b.column("text")), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), x], names=[*keep, "x"])
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -156,16 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 def score(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
     """row (the columns ``keep`` of docs) and score: the row is one struct, so that no column's name clashes."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("body"))
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    place = keep.index(text) if keep.count(text) == 1 and docs.schema[text].dataType == StringType() else None
+    rows = docs.select(F.struct(*keep).alias("row"), *([F.col(text).cast("string").alias("body")] if place is None else []))  # no text travels twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         for b in batches:
-            x = np.array([statistics(t) for t in b.column("body").to_pylist()]).reshape(-1, len(FEATURES))
+            texts = b.column("body") if place is None else b.column("row").field(place)
+            x = np.array(_all_statistics(texts)).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate([trees.scores(x[i : i + 1024]) for i in range(0, len(x), 1024)] or [np.empty(0)]))], names=["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 

@@ -85,12 +85,15 @@ _CACHES: list[dict] = []
 
 
 def claim(mine: dict | None = None) -> None:
-    """At the start of a task: empties the caches that other operators left in this worker process."""
+    """At the start of a task: empties the caches that other operators left in this worker process, and gives memory back."""
     import ctypes
 
+    import pyarrow as pa
+
     others = [c for c in _CACHES if c is not mine and c]
     for c in others:
         c.clear()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries give memory back on demand
         ctypes.CDLL(None).malloc_trim(0)
 
