@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import claim, materialize
 from .tokens import encoder
 
+#: Documents of a batch that are encoded at a time.
+SLICE = 1_024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, at long"
 
 
@@ -105,7 +107,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str = "
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist())):
+            slices = (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
+            for doc_id, ids in ((d, ids) for b in slices for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1).to_pylist()))):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):

@@ -15,6 +15,8 @@ LONGEST_CACHED = 48
 CACHE_LIMIT = 1_200_000
 #: Pieces that one call of the library encodes.
 LEARN = 1_000
+#: Pieces of texts that wait for others to be encoded, at most (but for those of one text).
+HELD = 1 << 18
 _L, _P = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 _PLAIN = rf" ?[{_L}]+| ?[0-9]+| ?[{_P}]+|[ \n]+(?![^ \n])|[ \n]+"
 #: Letters, digits, signs and white space by themselves, as both patterns cut them; with other characters in the text, a run of white space and what follows it whole if it has some of these.
@@ -101,7 +103,7 @@ class Encoder(dict):
         out: list[bytes] = []
         some: list[tuple[int, list[str], list[bytes | None]]] = []
         lacking: set[str] = set()
-        get = self.get
+        get, held = self.get, 0
 
         def join() -> None:
             new = self.learn(lacking)
@@ -123,8 +125,10 @@ class Encoder(dict):
             if None in ids:
                 some.append((len(out) - 1, pieces, ids))
                 lacking.update([p for p, x in zip(pieces, ids) if x is None])
-                if len(lacking) >= 4 * LEARN:
+                held += len(pieces)
+                if len(lacking) >= 4 * LEARN or held >= HELD:
                     join()
+                    held = 0
             else:
                 out[-1] = b"".join(ids)
         if some:
