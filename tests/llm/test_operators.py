@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skein.llm import embdup, fingerprints, mixing, neardup, packing, quality, sharding, suffixdup, tokenfiles, urlfilter
+from skein.llm import embdup, fingerprints, mixing, neardup, packing, quality, sharding, suffixdup, tokenfiles, tokens, urlfilter
 from skein.llm.shared import components
 from skein.llm.tokens import encoder
 
@@ -143,10 +143,13 @@ def test_packing(docs, nothing):
     assert not rows_of(packing.pack(nothing, BYTE))
 
 
-def test_pieces_encode_as_the_whole():
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_pieces_encode_as_the_whole(monkeypatch, held):
+    monkeypatch.setattr(tokens, "HELD", held)
     odd = ["a\t\n b", "  x  \n\n y ", "it's 12 don't!!\n\n\n", "<|endoftext|> hi", "\n\n", "é ́x", "A b", "ΑΣ ΑΣ.", "x \x1c y", "🙂 ok　d", " 's 't'S", "a_b c_ _d", "ß ÿ÷×", *(t or "" for _, t, _ in ROWS)]
     for path in (BYTE, WORD):
         enc = encoder(path)
+        enc.clear()
         assert enc.cuts and enc.batch(odd) == [enc.whole(t) if t else b"" for t in odd]
 
 
