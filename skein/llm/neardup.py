@@ -5,13 +5,14 @@ A document's set is that of its k-word shingles (see shared.shingle_set). Docume
 start. Classes that share a band are candidates. Links are confirmed on the full sets, so none is false; links are sought
 
 1. from each class to the least classes of its buckets (a star, not all pairs), then
-2. from classes that a bucket still holds in different components to the likeliest others by signature, then
-3. between every class and every other component that a bucket still holds with it, where signatures don't rule the link
-   out: such a class is compared with all of that component.
+2. in blocks of the buckets that still hold several components, along the likeliest pairs by signature that would join all
+   of a block's components (a forest: fewer pairs than rows); TRIES turns at most, each with other blocks, then
+3. between all classes of different components that a bucket still holds, where signatures don't rule the link out.
 
 A pair that shares a band is thus left out only if its two classes are in one component already, or its signatures differ
-by 6 standard errors from what a link would give (a chance of one in a billion for a link). Steps 2 and 3 work in blocks of bounded size, and step 3 makes a row
-for each class and component, not for each pair; no bucket is ever gathered.
+by 6 standard errors from what a link would give (a chance of one in a billion for a link). Steps 2 and 3 work in blocks of bounded size; step 3 compares full
+sets within a block and gives only links that join components, so a pair that is no link is never a row; no bucket is ever
+gathered.
 
 Cases: null text and texts without words have the empty set and link with nothing; a null doc_id takes part, but names no
 component unless all of its doc_ids are null; equal rows are linked; an empty table yields no rows; other columns are
@@ -21,7 +22,7 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .shared import WordHashes, claim, components, discard, materialize, own_exchange, shingle_set
 
-#: Hash functions, members of a block, and partners that step 2 tries.
+#: Hash functions, members of a block, and turns of step 2.
 HASHES, BLOCK, TRIES = 180, 256, 3
+#: What names a block: of a bucket's rows, of its smaller components (kind 0) or between these and the largest one (1).
+KEY = ["bucket", "kind", "x", "y"]
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)[:, None]
@@ -114,122 +117,153 @@ def least_agreement(percent: int) -> int:
     return math.floor(HASHES * (p - 6 * math.sqrt(p * (1 - p) / HASHES)))
 
 
-def settle(open_: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) of classes a with components c, open_ (a, c): a's full set against those of all of c, in blocks."""
-    nodes = texts.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    sizes = open_.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-    sizes = sizes.join(nodes.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "c")
-    sizes = materialize(sizes, "sizes")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = open_.withColumnRenamed("a", "node").join(sizes, "c").withColumn("x", own("askers")).select("c", "x", every("blocks").alias("y"), F.lit(0).alias("role"), "node").join(texts, "node")
-    asked = nodes.join(sizes, "c").withColumn("y", own("blocks")).select("c", every("askers").alias("x"), "y", F.lit(1).alias("role"), "node", "text", "sig")
-    columns = ["c", "x", "y", "role", "node", "text", "sig"]
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = asking.select(*columns).unionByName(asked.select(*columns)).repartition(n, "c", "x", "y").sortWithinPartitions("c", "x", "y", "role")
-    least = least_agreement(percent)
+def dealt(members: DataFrame, parts: DataFrame, turn: int | None) -> DataFrame:
+    """Rows (KEY, minor, own, node, component) of the buckets that hold several components, dealt out over blocks of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asks, sigs, done = None, [], None, set()
-        for batch in batches:
-            a, b = [], []
-            for c, x, y, role, node, text, sig in zip(*(batch.column(n).to_pylist() for n in columns)):
-                if (c, x, y) != now:
-                    now, asks, sigs, done = (c, x, y), [], None, set()
-                sig = np.frombuffer(sig, np.uint8)
-                if role == 0:
-                    asks.append((node, shingle_set(text, k, _CACHE), sig))
-                    continue
-                if not asks:
-                    continue
-                if sigs is None:
-                    sigs = np.stack([s for _, _, s in asks])
-                mine = None
-                for i in np.flatnonzero((sigs == sig).sum(1) >= least).tolist():
-                    other, s, _ = asks[i]
-                    if i in done or other == node:
-                        continue
-                    mine = shingle_set(text, k, _CACHE) if mine is None else mine
-                    if 100 * min(len(s), len(mine)) < percent * max(len(s), len(mine)):
-                        continue
-                    both = np.intersect1d(s, mine, assume_unique=True).size
-                    if 100 * both >= percent * (len(s) + len(mine) - both):
-                        a.append(other), b.append(node), done.add(i)  # one link joins it to the component
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def unsettled(members: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, tries: int | None) -> DataFrame:
-    """Pairs (a, b) of a bucket's classes that are in different components and that signatures leave open.
-
-    tries: how many partners of each class a block gives, the likeliest; None: of all pairs the one class and the other's
-    component. A bucket's largest component is compared with its other rows only, not with itself, block by block.
+    turn: a block holds each row of a bucket once, with others at each turn; after the first turn, buckets of one block are left
+    out. None: blocks for all pairs, but not those of a bucket's largest component with itself; minor rows are of the others.
     """
     rows = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all")).where("all > most")
+    mixed = mixed.where(F.col("all") > BLOCK) if turn else mixed
     rows = rows.join(own_exchange(mixed, "bucket"), "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    if turn is not None:
+        own = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.ceil(F.col("all") / BLOCK)).cast("int")
+        return rows.withColumn("own", own).select("bucket", F.lit(0).alias("kind"), F.col("own").alias("x"), F.col("own").alias("y"), "minor", "own", "node", "component")
     minors, majors = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all") - F.col("most"), F.col("most")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), minors).otherwise(majors)).cast("int"))
     with_minors = F.transform(F.sequence(F.lit(0), minors - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
     with_majors = F.transform(F.sequence(F.lit(0), majors - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.col("own").alias("x"), j.alias("y")))
     of_major = F.transform(F.sequence(F.lit(0), minors - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("x"), F.col("own").alias("y")))
     rows = rows.withColumn("task", F.explode(F.when(F.col("minor"), F.concat(with_minors, with_majors)).otherwise(of_major)))
-    rows = rows.select("bucket", "task.kind", "task.x", "task.y", "minor", "own", "node", "component").join(classes.select("node", "sig", "bands"), "node")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = ["bucket", "kind", "x", "y"]
-    rows = rows.select(*key, "minor", "own", "node", "component", "sig", "bands").repartition(n, *key).sortWithinPartitions(*key)
-    least = least_agreement(percent)
-
-    def block(key: tuple, got: list[tuple]) -> list[tuple[int, int]]:
-        bucket, kind, x, y = key
-        first = [g for g in got if (g[0] if kind else g[1] == x)]
-        second = [g for g in got if (not g[0] if kind else g[1] == y)]
-        if not first or not second:
-            return []
-        (sa, sb) = (np.frombuffer(b"".join(g[4] for g in side), np.uint8).reshape(len(side), -1) for side in (first, second))
-        (ba, bb) = (np.array([g[5] for g in side], np.int64) for side in (first, second))
-        (na, nb) = (np.array([g[2] for g in side], np.int64) for side in (first, second))
-        (ca, cb) = (np.array([g[3] for g in side], np.int64) for side in (first, second))
-        out = []
-        for at in range(0, len(first), 32):
-            rows = slice(at, at + 32)
-            agree = (sa[rows, None, :] == sb[None, :, :]).sum(2)
-            open_ = (agree >= least) & (ca[rows, None] != cb[None, :])
-            if not kind and x == y:
-                open_ &= na[rows, None] < nb[None, :]
-            i, j = np.nonzero(open_)
-            same = ba[rows][i] == bb[j]
-            here = ba[rows][i, same.argmax(1)] == bucket if len(i) else np.empty(0, bool)  # only in the first band they share
-            i, j = i[here], j[here]
-            if tries:
-                order = np.lexsort((nb[j], -agree[i, j], i))
-                i, j = i[order], j[order]
-                keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < tries
-                i, j = i[keep], j[keep]
-                out += [(max(p), min(p)) for p in zip(na[rows][i].tolist(), nb[j].tolist())]
-            else:
-                out += set(zip(na[rows][i].tolist(), cb[j].tolist()))
-        return list(dict.fromkeys(out))
+    return rows.select("bucket", "task.kind", "task.x", "task.y", "minor", "own", "node", "component")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """rows, those of a block in one partition and one after another."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *KEY).sortWithinPartitions(*KEY)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each block's key, and its rows of columns."""
+    now, got = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            keys = zip(*(part.column(c).to_pylist() for c in KEY))
+            for key, row in zip(keys, zip(*(part.column(c).to_pylist() for c in columns))):
+                if key != now:
+                    if got:
+                        yield now, got
+                    now, got = key, []
+                got.append(row)
+    if got:
+        yield now, got
+
+
+def open_pairs(key: tuple, got: list[tuple], least: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's rows (minor, own, node, component, sig, bands): pairs of places, of different components, that signatures
+    leave open, the likeliest first. first_only: pairs whose first common band this is."""
+    bucket, kind, x, y = key
+    minor, own = np.array([g[0] for g in got], bool), np.array([g[1] for g in got])
+    first, second = np.flatnonzero(minor if kind else own == x), np.flatnonzero(~minor if kind else own == y)
+    node, component = (np.array([g[c] for g in got], np.int64) for c in (2, 3))
+    sig = np.frombuffer(b"".join(g[4] for g in got), np.uint8).reshape(len(got), -1)
+    bands = np.array([g[5] for g in got], np.int64) if first_only else None
+    out = []
+    for at in range(0, len(first), 32):
+        rows = first[at : at + 32]
+        agree = (sig[rows, None, :] == sig[None, second, :]).sum(2)
+        open_ = (agree >= least) & (component[rows, None] != component[None, second])
+        if not kind and x == y:
+            open_ &= node[rows, None] < node[None, second]
+        i, j = np.nonzero(open_)
+        found = np.stack([rows[i], second[j], agree[i, j]])
+        if first_only and len(i):
+            same = bands[found[0]] == bands[found[1]]
+            found = found[:, bands[found[0], same.argmax(1)] == bucket]
+        out.append(found)
+    i, j, agree = np.concatenate(out, 1) if out else np.empty((3, 0), np.int64)
+    order = np.lexsort((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), -agree))
+    return i[order], j[order]
+
+
+def joining(got: list[tuple], i: np.ndarray, j: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of pairs of places in a block, in this order, those that are linked and join two of its components: fewer than it has rows."""
+    into: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in into:
+            into[c] = c = into.get(into[c], into[c])
+        return c
+
+    out, left = [], len({g[3] for g in got}) - 1
+    for a, b in zip(i.tolist(), j.tolist()):
+        if not left:
+            break
+        ca, cb = find(got[a][3]), find(got[b][3])
+        if ca != cb and linked(a, b):
+            into[ca] = cb
+            left -= 1
+            out.append((max(got[a][2], got[b][2]), min(got[a][2], got[b][2])))
+    return out
+
+
+def likely(members: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) to confirm: of each block of a bucket's classes the likeliest that would join all its components."""
+    rows = dealt(members, parts, turn).join(classes.select("node", "sig", "bands"), "node")
+    least, columns = least_agreement(percent), ["minor", "own", "node", "component", "sig", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        for key, got in blocks(batches, columns):
+            i, j = open_pairs(key, got, least, False)
+            if found := joining(got, i, j, lambda a, b: True):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-        now, got = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*key, "minor", "own", "node", "component", "sig", "bands")]
-            for row in zip(*cols):
-                if row[:4] != now:
-                    if now is not None and (found := block(now, got)):
-                        yield pairs_of(found)
-                    now, got = row[:4], []
-                got.append(row[4:])
-        if now is not None and (found := block(now, got)):
-            yield pairs_of(found)
+    return together(rows.select(*KEY, *columns)).mapInArrow(run, "a long, b long").distinct()
+
+
+def settle(members: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components that a bucket still holds apart and that have a link in it.
+
+    Every pair that signatures leave open is compared on its full sets, unless other links of its block have joined it. Sets
+    are compared where they meet: no row is made for a pair that is no link.
+    """
+    rows = dealt(members, parts, None).join(classes.select("node", "sig", "bands"), "node")
+    least, own = least_agreement(percent), ["minor", "own", "node", "component"]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+        for key, got in blocks(batches, [*own, "sig", "bands"]):
+            i, j = open_pairs(key, got, least, True)
+            if len(i):
+                asking = [(*key, *got[r][:4]) for r in np.union1d(i, j).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*asking), kinds)], names=[*KEY, *own])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_CACHE)
+        for key, got in blocks(batches, [*own, "sig", "bands", "text"]):
+            sets: dict[int, np.ndarray] = {}
+
+            def linked(*pair: int) -> bool:
+                for r in pair:
+                    if r not in sets:
+                        sets[r] = shingle_set(got[r][6], k, _CACHE)
+                s, t = (sets[r] for r in pair)
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    return False
+                both = np.intersect1d(s, t, assume_unique=True).size
+                return 100 * both >= percent * (len(s) + len(t) - both)
+
+            i, j = open_pairs(key, got, least, True)
+            if found := joining(got, i, j, linked):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    open_ = together(rows.select(*KEY, *own, "sig", "bands")).mapInArrow(asked, "bucket long, kind int, x int, y int, minor boolean, own int, node long, component long")
+    met = materialize(open_, "open").join(texts.select("node", "sig", "bands", "text"), "node")
+    return together(met.select(*KEY, *own, "sig", "bands", "text")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -243,19 +277,24 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
     members = materialize(banded.join(own_exchange(buckets, "bucket"), "bucket"), "members")
-    wanted = members.select("node").distinct().join(classes, "node").select("node", "sig", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    texts = materialize(wanted.join(rows, F.col("d").eqNullSafe(rows["doc_id"]) & (F.col("h") == rows["text_hash"])).select("node", "text", "sig"), "texts")
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "sig", "bands", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
+    texts = materialize(wanted.join(rows, F.col("d").eqNullSafe(rows["doc_id"]) & (F.col("h") == rows["text_hash"])).select("node", "text", "sig", "bands"), "texts")
     stars = members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("p"), F.max("hub").alias("q"))
     stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
     links = materialize(confirm(stars, texts, k, percent), "links")
     parts = components(links)
     members = members.drop("hub")
-    for tries in (TRIES, None):
-        pairs = materialize(unsettled(members, classes, parts, percent, tries), "pairs")
-        more = confirm(pairs, texts, k, percent) if tries else settle(pairs.withColumnRenamed("b", "c"), parts, texts, k, percent)
-        more = materialize(more, "links")
-        discard(pairs)
-        if more.isEmpty():
+    idle = False
+    for turn in (*range(TRIES), None):
+        if turn is None:
+            more = materialize(settle(members, classes, parts, texts, k, percent), "links")
+        elif idle:
+            continue
+        else:
+            pairs = materialize(likely(members, classes, parts, percent, turn), "pairs")
+            more = materialize(confirm(pairs, texts, k, percent), "links")
+            discard(pairs)
+        if idle := more.isEmpty():
             continue
         # From here on components are joined, not classes again.
         ends = [parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]

@@ -222,6 +222,30 @@ def test_near_groups_in_small_blocks(spark, monkeypatch):
     assert got == dict(enumerate(low))
 
 
+def test_near_groups_make_no_rows_of_pairs(spark, monkeypatch):
+    """A large group whose members are alike, but mostly no links: rows as many as its members, not as its pairs."""
+    rng = random.Random(12)
+    base, rows, made = words(rng, 100), [], {}
+    for i in range(150):
+        w = list(base) if i < 120 else rows[i - 120][1].split()
+        for at in rng.sample(range(100), 2 if i < 120 else 1):
+            w[at] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t, 3) for _, t in rows]
+    pairs = {(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    low = linked(pairs, 150)
+
+    def counted(df, name, write=neardup.materialize):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))}
+    assert got == dict(enumerate(low)) and 50 < len(set(low)) < 140
+    assert max(made["pairs"], made["links"], made.get("open", 0)) <= made["members"] <= neardup.HASHES // neardup.band_rows(85) * 150
+
+
 def test_drop_near(docs):
     kept = rows_of(neardup.drop_near(docs, 5, 80))
     assert [r["doc_id"] for r in kept].count(10) == 1 and not {11, 12} & {r["doc_id"] for r in kept}
