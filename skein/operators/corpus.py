@@ -27,6 +27,9 @@ class Corpus:
     postings: DataFrame
     #: Vocabulary of live chunks, and how many searchable chunks hold each word; made from the other tables where it isn't stored.
     words: DataFrame | None = None
+    #: Chunks with slug, title, source_dir and deleted_at of their documents, where these are at hand: no join has to find them, and postings
+    #: are made of them as they are read.
+    texts: DataFrame | None = None
 
     @property
     def live(self) -> DataFrame:
@@ -35,12 +38,21 @@ class Corpus:
     @property
     def searchable(self) -> DataFrame:
         """Live documents outside excluded directories."""
-        return self.live.where(~F.col("source_dir").isin(*S.EXCLUDED_DIRS))
+        return self.live.where(is_open())
+
+
+def is_open() -> Column:
+    """Whether a document's directory is searched."""
+    return ~F.col("source_dir").isin(*S.EXCLUDED_DIRS)
 
 
 def postings(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """A row for each word of title, heading path and text of each chunk; positions start at 0 in each."""
-    rows = chunks.join(docs.select(F.col("id").alias("doc_id"), "title"), "doc_id")
+    return posted(chunks.join(docs.select(F.col("id").alias("doc_id"), "title"), "doc_id"))
+
+
+def posted(rows: DataFrame) -> DataFrame:
+    """Postings of chunks with their titles: made as the rows are read, nothing is shuffled."""
     parts = F.array(*(F.struct(F.lit(a).alias("attr"), T.tokenize(c).alias("words")) for a, c in ((TITLE, "title"), (HEADING, "heading_path"), (BODY, "text"))))
     found = rows.select(F.col("id").alias("chunk_id"), F.explode(parts).alias("p"))
     return found.select("chunk_id", F.col("p.attr").alias("attr"), F.posexplode("p.words").alias("pos", "word")).select("word", "chunk_id", "attr", F.col("pos").cast("long").alias("pos"))
@@ -185,14 +197,20 @@ def first_chunks(c: Corpus, docs: DataFrame | None = None) -> DataFrame:
 
 
 def live_chunks(c: Corpus) -> DataFrame:
+    if c.texts is not None:
+        return c.texts.where("deleted_at is null")
     return c.chunks.join(c.live.select(F.col("id").alias("doc_id"), "slug", "source_dir"), "doc_id")
 
 
 def word_index(c: Corpus) -> DataFrame:
-    """(word, n): words of live chunks, those in excluded directories too, and in how many chunks outside of these each occurs."""
-    open_ = ~F.col("source_dir").isin(*S.EXCLUDED_DIRS)
-    ids = live_chunks(c).select(F.col("id").alias("chunk_id"), F.when(open_, F.col("id")).alias("open"))
-    return c.postings.select("word", "chunk_id").join(ids, "chunk_id").groupBy("word").agg(F.count_distinct("open").alias("n"))
+    """(word, n): words of live chunks, those in excluded directories too, and in how many chunks outside of these each occurs.
+
+    A chunk gives each of its words once, and a task adds them up before they are shuffled: what is moved is a task's vocabulary, not
+    its postings.
+    """
+    rows = c.texts if c.texts is not None else c.chunks.join(c.docs.select(F.col("id").alias("doc_id"), "title", "source_dir", "deleted_at"), "doc_id")
+    words = F.array_distinct(F.concat(*(T.tokenize(x) for x in ("title", "heading_path", "text"))))
+    return rows.where("deleted_at is null").select(F.explode(words).alias("word"), is_open().alias("open")).groupBy("word").agg(F.count_if("open").alias("n"))
 
 
 def vocabulary(c: Corpus) -> DataFrame:
@@ -202,6 +220,8 @@ def vocabulary(c: Corpus) -> DataFrame:
 
 def search_postings(c: Corpus) -> DataFrame:
     """Postings of live chunks outside excluded directories."""
+    if c.texts is not None:
+        return posted(c.texts.where(F.col("deleted_at").isNull() & is_open()))
     ids = c.chunks.join(c.searchable.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("id").alias("chunk_id"))
     return c.postings.join(ids, "chunk_id", "left_semi").select("word", "chunk_id", "attr", "pos")
 
