@@ -62,24 +62,21 @@ def word_weights(words: DataFrame, derived: DataFrame, total: DataFrame) -> Data
 
 
 def occurrences(derived: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
-    """(chunk_id, qi, cost, exact, attr, pos, idf) in candidate chunks: those of words that aren't gated, or of all if all are."""
-    rows = derived.drop("n").join(F.broadcast(weights), "qi")
+    """(chunk_id, qi, cost, exact, attr, pos, idf) in candidate chunks: those of words that aren't gated, or of all if all are.
+
+    The postings are read once. A few derived words are broadcast, so that no posting moves before it is found; stored postings are sorted by word:
+    a few words are looked up by name, of more only the range is.
+    """
+    rows = derived.drop("n").join(F.broadcast(weights), "qi").withColumn("open", ~(F.col("gated") & F.col("any_open")))
     first = rows.limit(LOOKUP + 1).toArrow()
-    listed = first.num_rows <= LOOKUP
-    rows = rows.sparkSession.createDataFrame(first) if listed else rows
-    gated = [r["gated"] and r["any_open"] for r in first.to_pylist()]
-
-    def of(part: bool) -> DataFrame:
-        """Occurrences of the words that are gated, or of the others. Stored postings are sorted by word: a few words are looked up
-        by name, of more only the range is."""
-        names = sorted({w for w, g in zip(first["word"].to_pylist(), gated) if g == part})
-        some = postings if not listed else postings.where(F.col("word").isin(names) if len(names) <= NAMED else F.col("word").between(names[0], names[-1]))
-        return some.join(rows.where((F.col("gated") & F.col("any_open")) == part), "word").select("chunk_id", "qi", "cost", "exact", "attr", "pos", "idf")
-
-    found = of(False)
-    if listed and not any(gated):
-        return found
-    return found.unionByName(of(True).join(found.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    if listed := first.num_rows <= LOOKUP:
+        rows = F.broadcast(rows.sparkSession.createDataFrame(first))
+        names = sorted(set(first["word"].to_pylist()))
+        postings = postings.where(F.col("word").isin(names) if len(names) <= NAMED else F.col("word").between(names[0], names[-1]))
+    found = postings.join(rows, "word")
+    if not listed or not all(first["open"].to_pylist()):
+        found = found.withColumn("open", F.max("open").over(Window.partitionBy("chunk_id"))).where("open")
+    return found.select("chunk_id", "qi", "cost", "exact", "attr", "pos", "idf")
 
 
 def by_chunk(found: DataFrame) -> DataFrame:
