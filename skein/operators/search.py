@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow())
 
 
+def among(df: DataFrame, column: str, rows: DataFrame) -> DataFrame:
+    """Rows of df whose ``column`` is among those of rows, a small local table: as these are named, df's scan gives no others, and
+    nothing is made of them."""
+    return df.where(F.col(column).isin([r[0] for r in rows.select(column).distinct().collect()]))
+
+
 def query_words(spark: SparkSession, query: str) -> DataFrame:
     """(qi, qw, q_stem, is_last, budget) of the first MAX_QUERY_WORDS words; repeated words stay."""
     rows = spark.range(1).select(F.posexplode(F.slice(T.tokenize(F.lit(query)), 1, S.MAX_QUERY_WORDS)).alias("qi", "qw"), F.least(F.size(T.tokenize(F.lit(query))), F.lit(S.MAX_QUERY_WORDS)).alias("n"))
@@ -208,7 +215,7 @@ def inject(seeds: DataFrame, dist: DataFrame, c: Corpus) -> DataFrame:
     top = seeds.agg(F.max("score").alias("top"))
     near = dist.where("dist > 0").join(c.searchable.select("id"), "id", "left_semi").orderBy("dist", "id").limit(S.MAX_INJECTED)
     near = small(near).join(F.broadcast(top)).select(F.col("id").alias("doc_id"), (S.INJECT * F.col("top") * F.pow(F.lit(S.HOP_DECAY), F.col("dist") - 1)).alias("score"))
-    return near.join(C.first_chunks(c, F.broadcast(near.select("doc_id"))), "doc_id").select("doc_id", "chunk_id", "heading_path", "text", "score")
+    return near.join(C.first_chunks(replace(c, chunks=among(c.chunks, "doc_id", near))), "doc_id").select("doc_id", "chunk_id", "heading_path", "text", "score")
 
 
 def traverse(c: Corpus, start: DataFrame, hops: int, edge_type: str | None = None) -> DataFrame:
@@ -256,7 +263,8 @@ def candidates(c: Corpus, lexical: DataFrame, vector: DataFrame, intent: str, ho
     fused = fuse([ranked(lexical, [way(n) for way, n in RULES], w_lex), ranked(vector, [F.desc("sim"), F.col("chunk_id")], w_vec)])
     docs = c.searchable.select(F.col("id").alias("doc_id"))
     chunks = c.chunks.select(F.col("id").alias("chunk_id"), "doc_id", "heading_path", "text")
-    hydrated = small(fused.join(chunks, "chunk_id").join(docs, "doc_id", "left_semi"))  # FUSED_TOP_K rows at most
+    fused = small(fused)  # FUSED_TOP_K rows at most
+    hydrated = small(fused.join(among(chunks, "chunk_id", fused), "chunk_id").join(docs, "doc_id", "left_semi"))
     seeds = best_of_docs(hydrated).withColumnRenamed("doc_id", "id")
     edges = lambda nodes: edges_both_ways(c.links, c.docs, nodes)
     boosted = adjacent_seeds(seeds, edges).select(F.col("id").alias("doc_id"), F.lit(True).alias("adjacent"))
@@ -272,10 +280,9 @@ def score_candidates(c: Corpus, found: DataFrame, query: str, intent: str, as_of
     q = query.strip().lower()
     temporal = intent == "temporal"
     found = small(found)  # FUSED_TOP_K and MAX_INJECTED rows
-    ids = F.broadcast(found.select("doc_id").distinct())
-    names = c.aliases.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.lower("alias") == q).alias("alias_hit"))
-    rows = found.join(c.docs.select(F.col("id").alias("doc_id"), "slug", "title", "doc_type", "source_dir", "updated_at"), "doc_id")
-    linked = c.links.join(ids.withColumnRenamed("doc_id", "dst_doc_id"), "dst_doc_id", "left_semi")
+    names = among(c.aliases, "doc_id", found).groupBy("doc_id").agg(F.max(F.lower("alias") == q).alias("alias_hit"))
+    rows = found.join(among(c.docs.select(F.col("id").alias("doc_id"), "slug", "title", "doc_type", "source_dir", "updated_at"), "doc_id", found), "doc_id")
+    linked = among(c.links, "dst_doc_id", found.select(F.col("doc_id").alias("dst_doc_id")))
     rows = rows.join(C.in_degree(linked), "doc_id", "left").join(names, "doc_id", "left")
     alias = F.coalesce("alias_hit", F.lit(False))
     title = F.lower("title").contains(q) if q else F.lower("title") == q

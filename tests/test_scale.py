@@ -12,7 +12,7 @@ from skein.operators import corpus as C
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 #: Documents, and words of each.
 DOCS, WORDS = 300, 400
-SEARCHES = ["query_df", "vocabulary", "idf", "word_df", "lexical_stats", "proximity", "lexical_topk", "df_gate"]
+SEARCHES = ["think_facts", "query_df", "vocabulary", "lexical_stats", "idf", "rrf_fusion", "hybrid_search", "proximity", "lexical_topk", "evidence", "word_df", "dedup_by_slug", "df_gate"]
 
 
 def moved(spark, run) -> tuple[object, int]:
