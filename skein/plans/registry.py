@@ -59,7 +59,8 @@ FRONT = "concat(CASE c_custkey % 4 WHEN 0 THEN '' ELSE concat('---', chr(10), 't
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    return customer(spark, d).select(F.col("c_custkey").alias("id"), F.concat(F.lit("people/"), F.col("c_custkey").cast("string")).alias("slug"), F.expr(SENTENCE.replace("c_custkey,", "cast(c_custkey as string),")).alias("body"), F.expr(FRONT).alias("content"), F.col("c_name").alias("title"))
+    """Dealt out as customers, which are narrow: Python parses notes, and a row group may hold a million."""
+    return customer(spark, d).repartition(A.parts(spark), "c_custkey").select(F.col("c_custkey").alias("id"), F.concat(F.lit("people/"), F.col("c_custkey").cast("string")).alias("slug"), F.expr(SENTENCE.replace("c_custkey,", "cast(c_custkey as string),")).alias("body"), F.expr(FRONT).alias("content"), F.col("c_name").alias("title"))
 
 
 # -- sources

@@ -67,3 +67,20 @@ def test_words_are_counted_as_postings_have_them(spark):
     texts = chunks.join(docs.withColumnRenamed("id", "doc_id"), "doc_id")
     c.texts = texts
     assert sorted(map(tuple, C.search_postings(c).collect())) == sorted(map(tuple, stored)) and {r["word"]: r["n"] for r in C.word_index(c).collect()} == got
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["frontmatter_fields", "validate_docs", "headings"])
+def test_notes_are_parsed_once_on_all_cores(spark, tmp_path, name):
+    """One file of one row group; a loader is made once, not for each text."""
+    from skein.functions import markdown as M
+
+    rows = [(i, f"Name {i}", i % 25, 1.0, "BUILDING") for i in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert plan(df).count("ArrowEvalPython") == 1
+    assert len([n for n in df.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]) >= 4
+    assert M._loader() is M._loader()
