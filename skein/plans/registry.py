@@ -153,7 +153,7 @@ def headings(spark, d):
 
 @query()
 def pack_paragraphs(spark, d):
-    return documents(spark, d).select("doc_id", F.posexplode(M.pieces_column(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("piece", "text"))
+    return M.pieces(documents(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
 
 
 @query(rf"""WITH {NOTES}, l AS (SELECT c_custkey AS id, c_nationkey AS n FROM customer)

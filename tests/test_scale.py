@@ -84,3 +84,16 @@ def test_notes_are_parsed_once_on_all_cores(spark, tmp_path, name):
     assert plan(df).count("ArrowEvalPython") == 1
     assert len([n for n in df.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]) >= 4
     assert M._loader() is M._loader()
+
+
+def test_pieces_of_few_texts_are_held_at_once(spark, tmp_path):
+    """Pieces are those of each text, and go out as they are made, not with all others of a batch."""
+    from skein.functions import markdown as M
+
+    paragraph = "x" * 700
+    texts = {i: None if i == 7 else "" if i == 8 else "\n".join(f"{i} {paragraph} {k}" for k in range(i % 5)) for i in range(1000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["pack_paragraphs"](spark, str(tmp_path))
+    got = sorted((r["doc_id"], r["piece"], r["text"]) for r in df.collect())
+    assert got == [(i, k, p) for i, t in texts.items() for k, p in enumerate(M.pack_paragraphs((t or "").replace("\n", "\n\n")))]
+    assert "MapInArrow" in plan(df) and "ArrowEvalPython" not in plan(df)
